@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorequarry.llm.leakage import leaked_items
+from lorequarry.llm.neardup import duplicate_classes, similar_pairs
 from lorequarry.llm.pairing import item_pairs
 from lorequarry.llm.splitting import split_oversized
 from lorequarry.llm.tokenizing import encode_corpus
@@ -21,6 +23,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "text_chunks")).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
+
+
+@query
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(table(spark, sf_dir, "text_chunks"))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_oversized(table(spark, sf_dir, "text_chunks"))
