@@ -11,6 +11,7 @@ from lorequarry.llm.leakage import leaked_items
 from lorequarry.llm.neardup import duplicate_classes, similar_pairs
 from lorequarry.llm.pairing import item_pairs
 from lorequarry.llm.splitting import split_oversized
+from lorequarry.llm.subjects import document_areas
 from lorequarry.llm.tokenizing import encode_corpus
 from lorequarry.session import table
 
@@ -81,3 +82,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).select("doc_id", "area")
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas"))

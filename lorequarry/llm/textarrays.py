@@ -70,15 +70,19 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Maximal runs of letters and digits of some texts.
 
-    start, end: offsets into the code points; text: index of the text of each word; hash: 64-bit, equal for equal words.
+    With ``hyphens`` compounds are one word. start, end: offsets into the code points; text: index of the text of each word; hash: 64-bit, equal for equal words.
     """
 
-    def __init__(self, texts: list[str], lower: bool = True, hashed: bool = True):
+    def __init__(self, texts: list[str], lower: bool = True, hashed: bool = True, hyphens: bool = False):
         self.texts = [t.lower() for t in texts] if lower else texts
         cps, self.offsets = code_points(self.texts)
         inside = np.zeros(len(cps) + 1, dtype=np.int8)
         kinds = class_table()[cps]
         inside[:-1] = (kinds == LETTER) | (kinds == NUMBER)
+        if hyphens:  # a hyphen between letters belongs to the word
+            at = np.flatnonzero(cps == 45)
+            at = at[(at > 0) & (at < len(cps) - 1)]
+            inside[at[(kinds[at - 1] == LETTER) & (kinds[at + 1] == LETTER)]] = 1
         change = np.diff(inside, prepend=np.int8(0))
         self.start, self.end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
         self.text = np.searchsorted(self.offsets, self.start, side="right") - 1
