@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.llm.leakage import leaked_items
+from lorequarry.llm.names import spelling_pairs, spellings
 from lorequarry.llm.neardup import duplicate_classes, similar_pairs
 from lorequarry.llm.pairing import item_pairs
 from lorequarry.llm.splitting import split_oversized
@@ -24,6 +25,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_pairs(table(spark, sf_dir, "claims"))
+
+
+@query
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings(table(spark, sf_dir, "claims"))
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "text_chunks")).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
