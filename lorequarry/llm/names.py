@@ -135,8 +135,8 @@ def trie_join(queries: DataFrame, words: DataFrame) -> DataFrame:
 
     Shards are spread by Spark; a task takes its shards one after another, first the words of a shard, then its queries in a stream.
     """
-    index = words.select(F.explode(F.udf(index_shards, T.ArrayType(T.StringType()))("word")).alias("shard"), F.lit(0).alias("side"), F.col("word").alias("token"))
-    asked = queries.select(F.explode(F.udf(query_shards, T.ArrayType(T.StringType()))("query")).alias("shard"), F.lit(1).alias("side"), F.col("query").alias("token"))
+    index = words.select(F.explode(F.udf(index_shards, T.ArrayType(T.StringType()), useArrow=True)("word")).alias("shard"), F.lit(0).alias("side"), F.col("word").alias("token"))
+    asked = queries.select(F.explode(F.udf(query_shards, T.ArrayType(T.StringType()), useArrow=True)("query")).alias("shard"), F.lit(1).alias("side"), F.col("query").alias("token"))
     rows = index.unionByName(asked.join(index.select("shard").distinct(), "shard", "left_semi"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +203,7 @@ def spellings(df: DataFrame, name_cols: tuple[str, ...] = ("subject", "object"))
     cut_names = cut_lineage(names.mapInPandas(cut, "name string, tokens array<string>"))
     token = cut_names.select("name", "tokens", F.posexplode("tokens").alias("place", "token"))
     fixed = F.col("token").isin(*sorted(FIXED))
-    titled = F.element_at("tokens", 1).isin(*TITLES)
+    titled = F.try_element_at("tokens", F.lit(1)).isin(*TITLES)
     first = (F.col("place") == F.when(titled, 1).otherwise(0)) & (F.size("tokens") == F.when(titled, 3).otherwise(2))
     # Spellings that differ in case or accents only are one attestation.
     stats = token.groupBy("token").agg(F.count_distinct(F.array_join(F.array_sort("tokens"), " ")).alias("names"), F.count_if(first).alias("first"))
@@ -242,15 +242,15 @@ def spellings(df: DataFrame, name_cols: tuple[str, ...] = ("subject", "object"))
     short = persons.select("family", "generation", "written").distinct()
     full = short.filter((F.length("written") > 3) & ~F.col("written").isin(*NICKNAMES)).select("family", "generation", F.col("written").alias("full"))
     # What a short form may stand for: a given name of the family that begins with it, or that it is a nickname of.
-    meant = F.split(F.element_at(nick, F.col("written")), " ")
+    meant = F.split(F.try_element_at(nick, F.col("written")), " ")
     partial = short.filter((F.length("written") <= 3) | F.col("written").isin(*NICKNAMES))
-    fits = F.array_contains(meant, F.col("full")) | (F.element_at(nick, F.col("written")).isNull() & F.col("full").startswith(F.col("written")))
+    fits = F.array_contains(meant, F.col("full")) | (F.try_element_at(nick, F.col("written")).isNull() & F.col("full").startswith(F.col("written")))
     starts = (F.length("written") <= 3) & F.col("full").startswith(F.col("written"))
     options = partial.join(full, ["family", "generation"]).withColumn("by_name", F.coalesce(fits, F.lit(False))).filter(F.col("by_name") | starts)
     chosen = options.groupBy("family", "generation", "written").agg(F.collect_set(F.when(F.col("by_name"), F.col("full"))).alias("named"), F.collect_set("full").alias("any"))
     chosen = chosen.select("family", "generation", "written", F.when(F.size("named") == 1, F.col("named")[0]).when((F.size("named") == 0) & (F.size("any") == 1), F.col("any")[0]).alias("resolved"))
     # A nickname whose given name is not in the family stands for its first meaning.
-    own = F.when(F.element_at(nick, F.col("written")).isNotNull(), F.split(F.element_at(nick, F.col("written")), " ")[0]).otherwise(F.col("written"))
+    own = F.when(F.try_element_at(nick, F.col("written")).isNotNull(), F.split(F.try_element_at(nick, F.col("written")), " ")[0]).otherwise(F.col("written"))
     persons = persons.join(chosen, ["family", "generation", "written"], "left").withColumn("given", F.coalesce("resolved", own))
     return bodies.unionByName(persons.select("name", F.concat_ws("|", F.lit("person"), "family", "given", "generation").alias("entity")))
 

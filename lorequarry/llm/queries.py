@@ -11,6 +11,7 @@ from lorequarry.llm.leakage import leaked_items
 from lorequarry.llm.names import spelling_pairs, spellings
 from lorequarry.llm.neardup import duplicate_classes, similar_pairs
 from lorequarry.llm.pairing import item_pairs
+from lorequarry.llm.scans import page_damage, repaired_pages
 from lorequarry.llm.splitting import split_oversized
 from lorequarry.llm.subjects import document_areas
 from lorequarry.llm.tokenizing import encode_corpus
@@ -35,6 +36,16 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings(table(spark, sf_dir, "claims"))
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_damage(table(spark, sf_dir, "loaded_pages"))
+
+
+@query
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_pages(table(spark, sf_dir, "loaded_pages"))
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "text_chunks")).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
