@@ -56,43 +56,46 @@ class Passages:
 
 
 def aligned(passage: list[str], words: list[str], least: int = 18, one_in: int = 8) -> bool:
-    """Whether at least ``least`` consecutive passage words stand in ``words`` in order, with at most one word in ``one_in`` edited.
+    """Whether at least ``least`` consecutive passage words stand in ``words`` in order, the first and the last of them unchanged,
+    with at most one word in ``one_in`` changed, left out or added.
 
     start[e][j]: the first passage word of the longest alignment with e edits that ends at the current passage word and at words[:j].
-    A word written as two, or two as one, is no edit. A long alignment can be cut into blocks of ``least`` to 2 * ``least`` - 1
-    words of which one has no more edits for its length than the whole, so the edits of such a block are as many as need be tried.
+    A word written as two, or two as one, is no edit. A long alignment can be cut into blocks of b to 2 b - 1 words, of which one
+    has no more edits for its length than the whole and keeps ``least`` words without the edits at its ends, so no more edits need be tried.
     """
     n, far = len(words), 1 << 30
     if len(passage) < least or not n:
         return False
-    most = min(len(passage), 2 * least - 1) // one_in
+    block = -(-least * one_in // (one_in - 2)) if one_in > 2 else len(passage)
+    most = min(len(passage), 2 * block - 1) // one_in
     code: dict[str, int] = {}
     w = np.array([code.setdefault(x, len(code)) for x in words])
     two = np.array([-2, *(code.setdefault(a + b, len(code)) for a, b in zip(words, words[1:]))])
     p = [code.get(x, -1) for x in passage]
     p_two = [-1, *(code.get(a + b, -1) for a, b in zip(passage, passage[1:]))]
     empty = np.full((most + 1, n + 1), far)
-    need = np.maximum(least, one_in * np.arange(most + 1))
-    before, last = empty.copy(), empty
-    last[0] = 0
+    need = np.maximum(least, one_in * np.arange(most + 1))[:, None]
+    before, last = empty, empty
     for i, x in enumerate(p, 1):
-        now = np.full((most + 1, n + 1), far)
-        same = w == x
-        now[:, 1:][:, same] = last[:, :-1][:, same]
+        kept = np.full((most + 1, n + 1), far)  # the current passage word stands there unchanged
+        same = np.flatnonzero(w == x)
+        kept[:, same + 1] = last[:, same]
+        kept[0, same + 1] = np.minimum(kept[0, same + 1], i - 1)
         split = np.flatnonzero(two == x)
-        split = split[split > 0]
         if len(split):
-            now[:, split + 1] = np.minimum(now[:, split + 1], last[:, split - 1])
+            kept[:, split + 1] = np.minimum(kept[:, split + 1], last[:, split - 1])
+            kept[0, split + 1] = np.minimum(kept[0, split + 1], i - 1)
         if i > 1 and p_two[i - 1] >= 0:
             join = np.flatnonzero(w == p_two[i - 1])
-            now[:, join + 1] = np.minimum(now[:, join + 1], before[:, join])
+            kept[:, join + 1] = np.minimum(kept[:, join + 1], before[:, join])
+            kept[0, join + 1] = np.minimum(kept[0, join + 1], i - 2)
+        if i >= least and (i - kept >= need).any():
+            return True
+        now = kept.copy()
         now[1:, 1:] = np.minimum(now[1:, 1:], last[:-1, :-1])
         now[1:] = np.minimum(now[1:], last[:-1])
         for e in range(1, most + 1):
             now[e, 1:] = np.minimum(now[e, 1:], now[e - 1, :-1])
-        now[0] = np.minimum(now[0], i)
-        if i >= least and (i - now.min(axis=1) >= need).any():
-            return True
         before, last = last, now
     return False
 
