@@ -1,31 +1,502 @@
-"""Registered queries of the core operators, with the SQL that checks them."""
+"""Registered queries of the core operators over whole tables, with the SQL that checks them where SQL can."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.session import table
+from lorequarry.functions import entities as names
+from lorequarry.functions import text
+from lorequarry.operators import answers, graph, metrics, retrieval
+from lorequarry.operators.chunking import character_chunks, chunk_documents
+from lorequarry.operators.resolve import best_matches
+from lorequarry.operators.vectors import build_index, embed, nearest, search_index
+from lorequarry.plans.engine import Engine
+from lorequarry.session import cut_lineage, ensure_checkpoint_dir, table
+from lorequarry.sources import sinks, units
+from lorequarry.sources.questions import question_columns
+from lorequarry.streaming.ingest import read_stream, read_upserts, stream_upsert, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "conflicts"
+FLAGSHIP = "ask_evidence"
 
+#: White space as DuckDB's regular expressions spell it, and word characters.
+_S = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects and predicates with more than one distinct object; a null object counts as one."""
-    return (
-        table(spark, sf_dir, "claims")
-        .groupBy("subject", "predicate")
-        .agg((F.count_distinct("object") + F.max(F.col("object").isNull().cast("int"))).alias("n_objects"), F.count("*").alias("n_claims"))
-        .filter("n_objects > 1")
-    )
-
-
-QUERIES["conflicts"] = conflicts
-SQL["conflicts"] = """
-SELECT subject, predicate, count(DISTINCT object) + max(CASE WHEN object IS NULL THEN 1 ELSE 0 END) AS n_objects, count(*) AS n_claims
-FROM claims GROUP BY subject, predicate HAVING count(DISTINCT object) + max(CASE WHEN object IS NULL THEN 1 ELSE 0 END) > 1
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.replace("{S}", _S)
+        return f
+
+    return register
+
+
+# Identity, titles and categories
+
+
+@query(r"SELECT file_path, 'doc_' || sha256(lower(replace(file_path, '\', '/')))[1:12] AS derived_id FROM loaded_documents")
+def doc_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "loaded_documents").select("file_path", text.document_id(F.col("file_path")).alias("derived_id"))
+
+
+_TYPE = r"""CASE WHEN regexp_matches(p, '(^|/)chronicles/') THEN 'chronicle' WHEN regexp_matches(p, '(^|/)wiki/') THEN 'wiki'
+WHEN regexp_matches(p, '(^|/)codex/') THEN 'official_codex' WHEN regexp_matches(p, '(^|/)ephemera/') THEN 'ephemera' ELSE 'unknown' END"""
+
+
+@query(rf"""WITH t AS (SELECT document_id, loaded_at, lower(replace(file_path, '\', '/')) AS p FROM loaded_documents), k AS (SELECT *, {_TYPE} AS kind FROM t)
+SELECT document_id, loaded_at, kind, CASE kind WHEN 'official_codex' THEN 1.0 WHEN 'chronicle' THEN 0.85 WHEN 'wiki' THEN 0.65 WHEN 'ephemera' THEN 0.5 ELSE 0.4 END::DOUBLE AS authority FROM k""")
+def source_type_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = text.infer_source_type(F.col("file_path"))
+    return table(spark, sf_dir, "loaded_documents").select("document_id", "loaded_at", kind.alias("kind"), text.authority(kind).alias("authority"))
+
+
+@query(r"""WITH t AS (SELECT file_name, lower(trim(regexp_replace(regexp_replace(regexp_replace(file_name, '(.)\.[^.]*$', '\1'), '[_-]', ' ', 'g'), '{S}+', ' ', 'g'))) AS s FROM loaded_documents)
+SELECT file_name, array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(s[i - 1], '\p{L}') THEN upper(s[i]) ELSE s[i] END), '') AS derived_title FROM t""")
+def title_from_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "loaded_documents").select("file_name", text.infer_title(F.col("file_name")).alias("derived_title"))
+
+
+# Cleaning
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[^\P{C}\n\r\t]', '', 'g')) AS cleaned FROM documents WHERE text IS NOT NULL")
+def strip_control_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(text.remove_control_characters(F.col("text"))).alias("cleaned"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[^\P{C}\n\r\t]', '', 'g'), '\r\n?', chr(10), 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '[ \t]{2,}', ' ', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(t, '[\x09\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*\n[\x09\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*', chr(10), 'g') AS t FROM c),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^{S}+|{S}+$', '', 'g') AS t FROM d),
+f AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{S}+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g') AS t FROM e)
+SELECT doc_id, md5(regexp_replace(t, '^{S}+|{S}+$', '', 'g')) AS cleaned FROM f""")
+def clean_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cleaning steps but NFKC, which SQL does not have."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"), unicode=False)).alias("cleaned"))
+
+
+@query()
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "loaded_pages").select("page_id", "loaded_at", text.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query()
+def clean_for_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_for_embedding(F.col("text")).alias("cleaned"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?]){S}+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, regexp_replace(s, '^{S}+|{S}+$', '', 'g') AS s FROM t)
+SELECT doc_id, md5(s) AS sentence, count(*) AS n FROM u WHERE s <> '' GROUP BY ALL""")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s")).groupBy("doc_id", F.md5("s").alias("sentence")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT chunk_id, loaded_at, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '{S}+'), lambda w: w <> '')) AS words,
+regexp_replace(coalesce(text, ''), '{S}+', '', 'g') = '' AS blank FROM text_chunks""")
+def char_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "text_chunks").select("chunk_id", "loaded_at", F.length("text").alias("chars"), text.word_count(F.col("text")).alias("words"), text.is_blank(F.col("text")).alias("blank"))
+
+
+@query(r"""WITH n AS (SELECT DISTINCT unnest([subject, object]) AS name FROM claims)
+SELECT name, regexp_replace(regexp_replace(lower(regexp_replace(name, '^{S}+|{S}+$', '', 'g')), '[^\p{L}\p{N}_\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}-]', '', 'g'), '{S}+', ' ', 'g') AS normalized FROM n WHERE name IS NOT NULL""")
+def normalize_entity_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "claims").select(F.explode(F.array("subject", "object")).alias("name")).filter("name IS NOT NULL").distinct()
+    return found.select("name", text.normalize_entity_name(F.col("name")).alias("normalized"))
+
+
+# Units and chunks
+
+
+@query(r"""WITH t AS (SELECT doc_id, text AS t FROM documents WHERE regexp_replace(coalesce(text, ''), '{S}+', '', 'g') <> ''),
+r AS (SELECT doc_id, t, unnest(range(0, greatest(1, ceil((length(t) - 1200) / 1000.0)::BIGINT + 1))) AS i FROM t)
+SELECT doc_id, i::INT AS piece_index, (i * 1000)::INT AS start_char, least(i * 1000 + 1200, length(t))::INT AS end_char,
+md5(regexp_replace(substr(t, (i * 1000 + 1)::BIGINT, 1200), '^{S}+|{S}+$', '', 'g')) AS piece FROM r WHERE regexp_replace(substr(t, (i * 1000 + 1)::BIGINT, 1200), '{S}+', '', 'g') <> ''""")
+def char_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return character_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("piece", F.md5("piece"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.latest(table(spark, sf_dir, "loaded_pages"), ["page_id"], ["loaded_at"])
+
+
+@query()
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All units of the files that are not chunked yet, cleaned and cut."""
+    return chunk_documents(_pages(spark, sf_dir))
+
+
+@query()
+def markdown_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.markdown_units(table(spark, sf_dir, "documents").filter("source LIKE '%.md' AND text IS NOT NULL"), "doc_id")
+
+
+@query()
+def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.text_units(table(spark, sf_dir, "documents").filter("source LIKE '%.txt' AND text IS NOT NULL"), "doc_id")
+
+
+@query(r"""SELECT page_id, loaded_at, CASE WHEN extraction_method = 'pdf_text_failed' THEN 'pdf_text_failed' WHEN n < 20 THEN 'pdf_text_low_content' ELSE 'pdf_text' END AS method,
+CASE WHEN extraction_method = 'pdf_text_failed' THEN 0.0 WHEN n < 20 THEN 0.35 ELSE 0.95 END::DOUBLE AS confidence, extraction_method = 'pdf_text_failed' OR n < 20 AS scanned
+FROM (SELECT *, length(regexp_replace(coalesce(text, ''), '^{S}+|{S}+$', '', 'g')) AS n FROM loaded_pages WHERE extraction_method LIKE 'pdf_text%')""")
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "loaded_pages").filter("extraction_method LIKE 'pdf_text%'")
+    q = units.page_quality(F.col("text"), F.col("extraction_method") == "pdf_text_failed")
+    return pages.select("page_id", "loaded_at", q.alias("q")).select("page_id", "loaded_at", F.col("q.extraction_method").alias("method"), F.col("q.extraction_confidence").alias("confidence"), F.col("q.likely_scanned_page").alias("scanned"))
+
+
+# Tables and reports
+
+
+@query("SELECT document_id, file_name, title, loaded_at FROM loaded_documents QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY loaded_at DESC) = 1")
+def latest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.latest(table(spark, sf_dir, "loaded_documents"), ["document_id"], ["loaded_at"]).select("document_id", "file_name", "title", "loaded_at")
+
+
+@query("""WITH d AS (SELECT * FROM loaded_documents QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY loaded_at DESC) = 1)
+SELECT count(*) FILTER (WHERE ingestion_error IS NULL AND lower(extension) IN ('.pdf', '.docx', '.md', '.markdown', '.txt')) AS success_count, count(ingestion_error) AS failure_count,
+count(*) FILTER (WHERE lower(extension) NOT IN ('.pdf', '.docx', '.md', '.markdown', '.txt')) AS skipped_count, sum(page_count)::BIGINT AS page_count FROM d""")
+def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.ingestion_report(units.latest(table(spark, sf_dir, "loaded_documents"), ["document_id"], ["loaded_at"]))
+
+
+@query()
+def document_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = units.latest(table(spark, sf_dir, "loaded_documents"), ["document_id"], ["loaded_at"]).drop("discovered_at", "loaded_at")
+    return sinks.document_export(documents, _pages(spark, sf_dir))
+
+
+@query()
+def chunk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.chunk_export(table(spark, sf_dir, "text_chunks").dropDuplicates(["chunk_id"]).drop("extracted_at", "loaded_at"))
+
+
+@query()
+def scalar_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.scalar_metadata(table(spark, sf_dir, "text_chunks").dropDuplicates(["chunk_id"]))
+
+
+@query("""WITH new AS (SELECT vec_id, label + 100 AS label, embedding FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 1000000, label, embedding FROM embeddings WHERE vec_id % 5 = 0)
+SELECT vec_id, label::INT AS label, embedding[1]::DOUBLE AS first FROM (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM new) UNION ALL SELECT * FROM new)""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later vectors of every third row, and new rows, take their places in the store."""
+    old = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    new = old.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100).unionByName(old.filter("vec_id % 5 = 0").withColumn("vec_id", F.col("vec_id") + 1000000))
+    return sinks.upsert(old, new, ["vec_id"]).select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("SELECT item_id AS ord, qid, track, trim(question) AS question FROM eval_items WHERE trim(question) <> ''")
+def question_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return question_columns(table(spark, sf_dir, "eval_items").withColumnRenamed("item_id", "ord"))
+
+
+# Names and the graph of names
+
+_NAMES = r"""
+runs AS (SELECT chunk_id, regexp_extract_all(text, '\b((?:[A-Z][A-Za-z''-]+(?:{S}+(?:of|the|and|de|von|van))?{S}*){1,6})', 1) AS runs FROM (SELECT DISTINCT chunk_id, text FROM text_chunks)),
+clean AS (SELECT chunk_id, list_transform(runs, lambda x: regexp_replace(regexp_replace(x, '{S}+', ' ', 'g'), '^ | $', '', 'g')) AS runs FROM runs),
+named AS (SELECT chunk_id, list_distinct(list_transform(list_filter(runs, lambda x: length(x) >= 3 AND x NOT IN ('The', 'A', 'An', 'According', 'Volume', 'Chapter', 'Figure', 'Plate', 'Official', 'Age', 'What', 'Which', 'Whose', 'In', 'On', 'To', 'From', 'Its')),
+  lambda x: regexp_replace(x, ' (?:of|the|and)$', ''))) AS entities FROM clean),
+men AS (SELECT chunk_id, unnest(entities) AS entity FROM named),
+pairs AS (SELECT x.entity AS a, y.entity AS b, count(*) AS count FROM men x JOIN men y ON x.chunk_id = y.chunk_id AND x.entity < y.entity GROUP BY 1, 2)
 """
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.chunk_entities(table(spark, sf_dir, "text_chunks"))
+
+
+@query(f"WITH {_NAMES} SELECT entity, chunk_id FROM men")
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mentions(_named(spark, sf_dir))
+
+
+@query(f"WITH {_NAMES} SELECT a, b, count FROM pairs")
+def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cooccurrence(_named(spark, sf_dir))
+
+
+@query(f"WITH {_NAMES} SELECT entity, chunk_id FROM men WHERE chunk_id IN (SELECT chunk_id FROM men GROUP BY 1 HAVING count(*) >= 2)")
+def supported_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.supported_by(_named(spark, sf_dir))
+
+
+@query(f"WITH {_NAMES} SELECT sum(len(entities))::BIGINT AS mentions, sum(len(entities) * (len(entities) - 1) // 2)::BIGINT AS connections FROM named")
+def graph_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.graph_counters(_named(spark, sf_dir))
+
+
+_NEAR = r"""seeds AS (SELECT DISTINCT subject AS seed FROM claims WHERE predicate = 'RULES' AND subject <> ''),
+ents AS (SELECT DISTINCT entity FROM men),
+hit AS (SELECT seed, entity FROM seeds JOIN ents ON {match}),
+edge AS (SELECT a AS node, b AS other, count FROM pairs UNION ALL SELECT b, a, count FROM pairs),
+beside AS (SELECT seed, other AS name, sum(count)::BIGINT AS count FROM hit JOIN edge ON entity = node GROUP BY 1, 2),
+ranked AS (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY count DESC, name) AS rank, name, count FROM beside)
+SELECT seed, rank::INT AS rank, name, count FROM ranked WHERE rank <= 20 AND name NOT IN ({noise})"""
+_BOTH, _ONE = "(contains(lower(entity), lower(seed)) OR contains(lower(seed), lower(entity)))", "contains(lower(entity), lower(seed))"
+_NOISE = ", ".join(f"'{n}'" for n in names.NOISE_NAMES)
+
+
+def _rulers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "claims").filter("predicate = 'RULES'").select(F.col("subject").alias("seed")).filter("seed <> ''").distinct()
+
+
+@query("WITH " + _NAMES + ", " + _NEAR.replace("{match}", _BOTH).replace("{noise}", _NOISE))
+def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = cut_lineage(_named(spark, sf_dir))
+    return graph.graph_neighbours(_rulers(spark, sf_dir), graph.mentions(named).select("entity"), graph.cooccurrence(named))
+
+
+@query("WITH " + _NAMES + ", " + _NEAR.replace("{match}", _ONE).replace("{noise}", "''"))
+def graph_neighbors_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = cut_lineage(_named(spark, sf_dir))
+    return graph.graph_neighbours(_rulers(spark, sf_dir), graph.mentions(named).select("entity"), graph.cooccurrence(named), both_ways=False, noise=[""])
+
+
+@query()
+def graph_evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the names beside those in each held-out question."""
+    named = cut_lineage(_named(spark, sf_dir))
+    asked = table(spark, sf_dir, "eval_items").select(F.col("qid").alias("query_id"), F.explode(names.question_entities(F.col("question"))).alias("name")).distinct()
+    return graph.evidence_search(asked, graph.mentions(named).select("entity"), graph.cooccurrence(named), graph.mentions(named))
+
+
+@query()
+def question_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names, analysed names and the seed of each held-out question."""
+    q = F.col("question")
+    return table(spark, sf_dir, "eval_items").select("qid", names.question_entities(q).alias("names"), names.analysed_entities(q).alias("analysed"), names.seed_entity(q).alias("seed"))
+
+
+# Claims
+
+@query("""SELECT subject, predicate, object, chunk_id, max(loaded_at) AS loaded_at FROM claims
+WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL""")
+def claim_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.claim_graph(table(spark, sf_dir, "claims").withColumn("at", F.col("loaded_at")).withColumn("evidence", F.col("loaded_at").cast("string"))).select("subject", "predicate", "object", "chunk_id", F.col("evidence").cast("timestamp_ntz").alias("loaded_at"))
+
+
+@query("""WITH e AS (SELECT DISTINCT subject, object, chunk_id FROM claims WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND chunk_id IS NOT NULL)
+SELECT chunk_id, subject AS entity FROM e UNION SELECT chunk_id, object FROM e""")
+def claim_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.claim_supports(graph.claim_graph(table(spark, sf_dir, "claims")))
+
+
+@query("""WITH e AS (SELECT DISTINCT subject, predicate, object, chunk_id FROM claims WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND chunk_id IS NOT NULL),
+n AS (SELECT DISTINCT subject AS name FROM e), b AS (SELECT subject AS node, object AS other, predicate, chunk_id FROM e UNION ALL SELECT object, subject, predicate, chunk_id FROM e),
+r AS (SELECT name, other, predicate, chunk_id, row_number() OVER (PARTITION BY name ORDER BY other, predicate, chunk_id) AS rank FROM n JOIN b ON name = node)
+SELECT name, rank::INT AS rank, other, predicate, chunk_id FROM r WHERE rank <= 20""")
+def claim_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.claim_graph(table(spark, sf_dir, "claims"))
+    return graph.claim_neighbours(edges, edges.select(F.col("subject").alias("name")).distinct()).drop("evidence")
+
+
+@query("""WITH e AS (SELECT DISTINCT subject, object FROM claims WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND chunk_id IS NOT NULL),
+n AS (SELECT DISTINCT unnest([subject, object]) AS entity FROM e), s AS (SELECT DISTINCT subject AS name FROM claims WHERE predicate = 'RULES' AND subject <> ''),
+r AS (SELECT name, entity, row_number() OVER (PARTITION BY name ORDER BY entity) AS rank FROM s JOIN n ON entity <> '' AND (contains(lower(entity), lower(name)) OR contains(lower(name), lower(entity))))
+SELECT name, rank::INT AS rank, entity FROM r WHERE rank <= 20""")
+def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = cut_lineage(graph.claim_graph(table(spark, sf_dir, "claims")))
+    return graph.search_entities(edges, _rulers(spark, sf_dir).withColumnRenamed("seed", "name"))
+
+
+_SUPPLY = """edges AS (SELECT 's' || s_suppkey AS edge_id, s_name AS subject, 'BASED_IN' AS predicate, n_name AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'n' || n_nationkey, n_name, 'PART_OF', r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are based in nations, nations are parts of regions."""
+    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    based = s.join(n, s.s_nationkey == n.n_nationkey).select(F.concat(F.lit("s"), "s_suppkey").alias("edge_id"), F.col("s_name").alias("subject"), F.lit("BASED_IN").alias("predicate"), F.col("n_name").alias("object"), F.lit("supplier").alias("document_id"))
+    part = n.join(r, n.n_regionkey == r.r_regionkey).select(F.concat(F.lit("n"), "n_nationkey").alias("edge_id"), F.col("n_name").alias("subject"), F.lit("PART_OF").alias("predicate"), F.col("r_name").alias("object"), F.lit("nation").alias("document_id"))
+    return based.unionByName(part).withColumn("evidence", F.concat_ws(" ", "subject", F.lower("predicate"), "object")).withColumn("chunk_id", F.concat(F.lit("c_"), "edge_id"))
+
+
+_TRAILS = f"""WITH RECURSIVE {_SUPPLY}, ways AS (SELECT subject AS node, object AS other, edge_id, predicate FROM edges UNION ALL SELECT object, subject, edge_id, predicate FROM edges),
+walk AS (SELECT s_name AS seed, [s_name] AS nodes, []::VARCHAR[] AS ids, s_name AS at, 0 AS hops, '' AS line FROM supplier
+UNION ALL SELECT seed, list_append(nodes, other), list_append(ids, edge_id), other, hops + 1, line || CASE WHEN hops > 0 THEN ' | ' ELSE '' END || at || ' -[' || predicate || ']-> ' || other FROM walk JOIN ways ON node = at WHERE hops < 2 AND NOT list_contains(ids, edge_id)),
+kept AS (SELECT * FROM walk WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hops, ids, nodes) <= 50)"""
+
+
+def _supply_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _supply_edges(spark, sf_dir)
+    return graph.trails(edges, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("seed")), 2, 50)
+
+
+@query(_TRAILS + " SELECT seed, array_to_string(nodes, '/') AS nodes, array_to_string(ids, '/') AS edge_ids, hops FROM kept")
+def multi_hop_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supply_trails(spark, sf_dir).select("seed", F.array_join("nodes", "/").alias("nodes"), F.array_join("edge_ids", "/").alias("edge_ids"), "hops")
+
+
+@query(_TRAILS + " SELECT seed, array_to_string(ids, '/') AS edge_ids, line AS summary FROM kept")
+def path_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = graph.with_relationships(_supply_trails(spark, sf_dir), _supply_edges(spark, sf_dir))
+    return paths.select("seed", F.array_join("edge_ids", "/").alias("edge_ids"), graph.path_summary(F.col("nodes"), F.col("relationships")).alias("summary"))
+
+
+@query(_TRAILS + """, steps AS (SELECT seed, hops, unnest(ids) AS edge_id FROM kept)
+SELECT seed, 'c_' || edge_id AS chunk_id, round(1.0 / hops, 6)::DOUBLE AS score, count(*) AS n FROM steps GROUP BY ALL""")
+def graph_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = graph.graph_evidence(graph.with_relationships(_supply_trails(spark, sf_dir), _supply_edges(spark, sf_dir)))
+    return facts.groupBy("seed", "chunk_id", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT subject, predicate, object, count(*) AS n FROM claims GROUP BY ALL)
+SELECT subject, predicate, array_to_string(list_sort(list(object) FILTER (WHERE object IS NOT NULL)), '|') AS objects, sum(n)::BIGINT AS n_claims FROM o GROUP BY ALL HAVING count(*) > 1""")
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.detect_conflicts(table(spark, sf_dir, "claims"))
+    return found.withColumn("objects", F.when(F.size("objects") > 0, F.array_join("objects", "|")))
+
+
+@query()
+def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best match of each name typed in a claim's subject among the titles' names, those that three claims agree on."""
+    c = table(spark, sf_dir, "claims")
+    attested = c.filter("subject IS NOT NULL").groupBy("subject").agg(F.count("*").alias("n")).filter("n >= 3")
+    return best_matches(c.select(F.col("object").alias("name")), attested.select(F.col("subject").alias("candidate"), (-F.col("n")).alias("ord")))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties read back out of replies that wrap them in prose."""
+    wrapped = F.concat(F.lit("Here it is: "), "props", F.lit(" - done."))
+    return table(spark, sf_dir, "events").select("event_id", text.salvage_json(wrapped, "k string")["k"].alias("k"))
+
+
+@query("""SELECT claim_id, loaded_at, subject, predicate, object, coalesce(evidence, '') AS evidence FROM claims WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL""")
+def claims_from_llm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims read back out of replies in JSON with prose around it; the replies are made of the claims table."""
+    relation = F.struct("subject", "predicate", "object", "evidence")
+    reply = F.concat(F.lit("The relations are "), F.to_json(F.struct(F.array(relation).alias("relations"))), F.lit("."))
+    rows = answers.parsed_claims(table(spark, sf_dir, "claims").select("claim_id", "loaded_at", reply.alias("reply")))
+    return rows.filter("error IS NULL").drop("error")
+
+
+# Vectors
+
+_KNN = """knn AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS score, c.label AS label, q.label AS query_label
+FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM knn QUALIFY rank <= 10)"""
+
+
+def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = table(spark, sf_dir, "embeddings")
+    return nearest(corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), corpus)
+
+
+@query(f"WITH {_KNN} SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM top")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
+
+
+@query()
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the index against the exact search, over the stated queries: one row."""
+    corpus = table(spark, sf_dir, "embeddings")
+    index, centres = build_index(corpus)
+    asked = corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = search_index(asked, index, centres, 10, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return _knn(spark, sf_dir).join(found, ["query_id", "vec_id"], "left").agg(F.count("*").alias("expected"), F.count("hit").alias("found"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+@query(f"""WITH {_KNN}, hits AS (SELECT query_id // 100 AS grp, (query_id % 100) // 20 AS query_ord, rank, vec_id, score FROM top),
+seen AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY grp, vec_id ORDER BY query_ord, rank) = 1)
+SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY query_ord, rank, vec_id)::INT AS ord, vec_id, round(score, 6) AS score FROM seen""")
+def multi_query_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five queries at a time fused in order of first sight."""
+    hits = _knn(spark, sf_dir).select(F.floor(F.col("query_id") / 100).cast("long").alias("grp"), F.floor(F.col("query_id") % 100 / 20).cast("int").alias("query_ord"), "rank", "vec_id", "score")
+    return retrieval.fuse_first_seen(hits, "grp", "vec_id").select("grp", "ord", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_KNN}, rel AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+per AS (SELECT query_id, count(*) FILTER (WHERE label = query_label) AS hits, count(*) AS n, min(rank) FILTER (WHERE label = query_label) AS first, any_value(query_label) AS ql FROM top GROUP BY 1)
+SELECT count(*) AS queries, round(avg(hits / per.n), 9) AS precision, round(avg(hits / rel.n), 9) AS recall, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr FROM per JOIN rel ON rel.label = ql""")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = table(spark, sf_dir, "embeddings")
+    relevant = corpus.groupBy("label").agg(F.collect_list("vec_id").alias("relevant"))
+    asked = corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label")
+    got = _knn(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("retrieved"))
+    report = metrics.retrieval_report(asked.join(got, "query_id"))
+    return report.select("queries", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "mrr")])
+
+
+@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(lower(coalesce(question, '')), '([\p{L}\p{N}_]+)', 1) AS p, regexp_extract_all(lower(coalesce(passage, '')), '([\p{L}\p{N}_]+)', 1) AS r FROM eval_items),
+s AS (SELECT *, list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(r, lambda x: x = t))))) AS shared FROM t)
+SELECT item_id, round(CASE WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 WHEN coalesce(shared, 0) = 0 THEN 0.0 ELSE 2.0 * shared / (len(p) + len(r)) END, 9)::DOUBLE AS f1 FROM s""")
+def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "eval_items").select("item_id", F.round(metrics.token_f1(F.col("question"), F.col("passage")), 9).alias("f1"))
+
+
+# Questions to evidence
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
+    engine = Engine(table(spark, sf_dir, "text_chunks"), table(spark, sf_dir, "claims"))
+    return engine, table(spark, sf_dir, "eval_items").select("qid", "question")
+
+
+@query()
+def ask_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence for every held-out question: seed, neighbours, expanded queries, nearest chunks, fused."""
+    engine, asked = _engine(spark, sf_dir)
+    return engine.retrieve(asked)
+
+
+@query()
+def ask_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, asked = _engine(spark, sf_dir)
+    return engine.ask_batch(asked)
+
+
+@query()
+def ask_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of vectors and of trails in the claim graph, ranked by score and authority."""
+    engine, asked = _engine(spark, sf_dir)
+    return engine.retrieve_modular(asked, max_hops=1)
+
+
+@query()
+def ask_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, asked = _engine(spark, sf_dir)
+    return answers.citations(engine.retrieve_modular(asked, max_hops=1))
+
+
+@query()
+def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that any held-out question finds, with the questions that find them."""
+    engine, asked = _engine(spark, sf_dir)
+    hits = nearest(embed(asked, "qid", "question", is_query=True), engine.vectors(), 10, "qid", "chunk_id").join(asked, "qid")
+    return retrieval.select_candidates(hits.withColumn("question_ord", F.col("qid")), engine.chunks)
+
+
+@query()
+def text_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest chunks to every held-out passage."""
+    items = table(spark, sf_dir, "eval_items").select("qid", "passage")
+    engine, _ = _engine(spark, sf_dir)
+    return nearest(embed(items, "qid", "passage", is_query=True), engine.vectors(), 10, "qid", "chunk_id")
+
+
+# Rows that arrive over time
+
+
+@query("""SELECT claim_id, subject, predicate, object, loaded_at FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY loaded_at DESC) = 1""")
+def streamed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims folded in as a stream: of repeated and late rows of one id the last stays."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "claims").schema
+    stream_upsert(read_stream(spark, sf_dir, "claims", schema), f"{root}/table", f"{root}/progress", ["claim_id"], "loaded_at")
+    return read_upserts(spark, f"{root}/table", ["claim_id"], "loaded_at").select("claim_id", "subject", "predicate", "object", "loaded_at")
+
+
+@query("""SELECT date_trunc('hour', loaded_at) AS start, predicate, count(*) AS n FROM claims WHERE loaded_at IS NOT NULL GROUP BY ALL""")
+def claims_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_counts(table(spark, sf_dir, "claims"), "loaded_at", ["predicate"]).filter("start IS NOT NULL")
