@@ -321,8 +321,8 @@ def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRAILS = f"""WITH RECURSIVE {_SUPPLY}, ways AS (SELECT subject AS node, object AS other, edge_id, predicate FROM edges UNION ALL SELECT object, subject, edge_id, predicate FROM edges),
-walk AS (SELECT s_name AS seed, [s_name] AS nodes, []::VARCHAR[] AS ids, s_name AS at, 0 AS hops, '' AS line FROM supplier
-UNION ALL SELECT seed, list_append(nodes, other), list_append(ids, edge_id), other, hops + 1, line || CASE WHEN hops > 0 THEN ' | ' ELSE '' END || at || ' -[' || predicate || ']-> ' || other FROM walk JOIN ways ON node = at WHERE hops < 2 AND NOT list_contains(ids, edge_id)),
+walk AS (SELECT s_name AS seed, [s_name] AS nodes, []::VARCHAR[] AS ids, s_name AS tip, 0 AS hops, '' AS line FROM supplier
+UNION ALL SELECT seed, list_append(nodes, other), list_append(ids, edge_id), other, hops + 1, line || CASE WHEN hops > 0 THEN ' | ' ELSE '' END || tip || ' -[' || predicate || ']-> ' || other FROM walk JOIN ways ON node = tip WHERE hops < 2 AND NOT list_contains(ids, edge_id)),
 kept AS (SELECT * FROM walk WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hops, ids, nodes) <= 50)"""
 
 
