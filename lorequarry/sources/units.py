@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,7 +63,7 @@ def is_upper_heading(c: Column) -> Column:
 
 def text_units(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """Paragraphs of plain text, with chapter and section headings carried on to the paragraphs after them."""
-    text = F.regexp_replace(F.regexp_replace(F.replace(F.col(text_col), F.lit("\x00"), F.lit("")), r"\r\n?|[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "\n"), rf"{SPACE}+(?=\n)|{SPACE}+\z", "")
+    text = F.regexp_replace(F.regexp_replace(F.replace(F.col(text_col), F.lit("\x00"), F.lit("")), r"\r\n?|[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "\n"), rf"(?:(?!\n){SPACE})+(?=\n)|{SPACE}+\z", "")
     blocks = F.filter(F.transform(F.split(text, rf"\n{SPACE}*\n"), strip_space), lambda b: b != "")
     single = lambda b: ~b.contains("\n")
     chapter = lambda b: single(b) & b.rlike(CHAPTER)
@@ -152,19 +152,21 @@ def load_corpus(spark: SparkSession, root: str, recursive: bool = True) -> tuple
     files = discover(spark, root, recursive)
     files = files.withColumn("document_id", document_id(F.col("relative_path")))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("document_id", pa.string()), ("unit_index", pa.int32()), ("text", pa.string()), ("page", pa.int32()), ("section", pa.string()), ("chapter", pa.string()), ("extraction_method", pa.string()), ("extraction_confidence", pa.float64()), ("ingestion_error", pa.string())])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, extension, content in zip(batch.document_id, batch.extension, batch.content):
+            for key, extension, content in zip(*(batch.column(c).to_pylist() for c in ("document_id", "extension", "content"))):
                 try:
                     units = parse_docx(content) if extension == ".docx" else parse_pdf(content)
                     out += [{"document_id": key, "unit_index": i, **u} for i, u in enumerate(units)]
                 except Exception as e:  # noqa: BLE001 - the error becomes a row
                     out.append({"document_id": key, "unit_index": -1, "ingestion_error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=["document_id", "unit_index", "text", "page", "section", "chapter", "extraction_method", "extraction_confidence", "ingestion_error"])
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     binary = files.filter(F.col("extension").isin(".docx", ".pdf")).select("document_id", "extension", "content")
-    parsed = binary.mapInPandas(parse, f"document_id string, unit_index int, {UNIT_COLUMNS}, ingestion_error string")
+    parsed = binary.mapInArrow(parse, f"document_id string, unit_index int, {UNIT_COLUMNS}, ingestion_error string")
     decoded = files.select("document_id", "extension", F.decode(F.col("content"), "UTF-8").alias("text"))
     units = (
         parsed.filter("ingestion_error IS NULL").drop("ingestion_error")
