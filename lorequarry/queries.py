@@ -234,7 +234,7 @@ def graph_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_counters(_named(spark, sf_dir))
 
 
-_NEAR = r"""seeds AS (SELECT DISTINCT subject AS seed FROM claims WHERE predicate = 'RULES' AND subject <> ''),
+_NEAR = r"""seeds AS (SELECT DISTINCT subject AS seed FROM claims WHERE subject <> ''),
 ents AS (SELECT DISTINCT entity FROM men),
 hit AS (SELECT seed, entity FROM seeds JOIN ents ON {match}),
 edge AS (SELECT a AS node, b AS other, count FROM pairs UNION ALL SELECT b, a, count FROM pairs),
@@ -245,20 +245,20 @@ _BOTH, _ONE = "(contains(lower(entity), lower(seed)) OR contains(lower(seed), lo
 _NOISE = ", ".join(f"'{n}'" for n in names.NOISE_NAMES)
 
 
-def _rulers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "claims").filter("predicate = 'RULES'").select(F.col("subject").alias("seed")).filter("seed <> ''").distinct()
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "claims").select(F.col("subject").alias("seed")).filter("seed <> ''").distinct()
 
 
 @query("WITH " + _NAMES + ", " + _NEAR.replace("{match}", _BOTH).replace("{noise}", _NOISE))
 def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = cut_lineage(_named(spark, sf_dir))
-    return graph.graph_neighbours(_rulers(spark, sf_dir), graph.mentions(named).select("entity"), graph.cooccurrence(named))
+    return graph.graph_neighbours(_subjects(spark, sf_dir), graph.mentions(named).select("entity"), graph.cooccurrence(named))
 
 
 @query("WITH " + _NAMES + ", " + _NEAR.replace("{match}", _ONE).replace("{noise}", "''"))
 def graph_neighbors_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = cut_lineage(_named(spark, sf_dir))
-    return graph.graph_neighbours(_rulers(spark, sf_dir), graph.mentions(named).select("entity"), graph.cooccurrence(named), both_ways=False, noise=[""])
+    return graph.graph_neighbours(_subjects(spark, sf_dir), graph.mentions(named).select("entity"), graph.cooccurrence(named), both_ways=False, noise=[""])
 
 
 @query()
@@ -300,12 +300,12 @@ def claim_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT DISTINCT subject, object FROM claims WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND chunk_id IS NOT NULL),
-n AS (SELECT DISTINCT unnest([subject, object]) AS entity FROM e), s AS (SELECT DISTINCT subject AS name FROM claims WHERE predicate = 'RULES' AND subject <> ''),
+n AS (SELECT DISTINCT unnest([subject, object]) AS entity FROM e), s AS (SELECT DISTINCT subject AS name FROM claims WHERE subject <> ''),
 r AS (SELECT name, entity, row_number() OVER (PARTITION BY name ORDER BY entity) AS rank FROM s JOIN n ON entity <> '' AND (contains(lower(entity), lower(name)) OR contains(lower(name), lower(entity))))
 SELECT name, rank::INT AS rank, entity FROM r WHERE rank <= 20""")
 def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = cut_lineage(graph.claim_graph(table(spark, sf_dir, "claims")))
-    return graph.search_entities(edges, _rulers(spark, sf_dir).withColumnRenamed("seed", "name"))
+    return graph.search_entities(edges, _subjects(spark, sf_dir).withColumnRenamed("seed", "name"))
 
 
 _SUPPLY = """edges AS (SELECT 's' || s_suppkey AS edge_id, s_name AS subject, 'BASED_IN' AS predicate, n_name AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey
