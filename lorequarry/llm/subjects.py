@@ -34,6 +34,7 @@ MAX_SAMPLES, TRAINING_PARTS = 20_000, 4
 BREAK = re.compile(
     r"(?:(?<![\s(]Dr)(?<![\s(]St)(?<!Capt)(?<!Mshl)(?<!Wdn)(?<![\s(][A-Z])\.|[!?…])[\"'”’»)\]]*\s+(?=[\"'“‘«„(¿¡]*[^\W_a-zà-öø-ÿ])|[。！？]+|\n\s*\n\s*|(?<![.!?…,;\"'”’»)\w])\n"
 )
+TITLE = re.compile(r"\A\s*[^\n.!?…]{1,120}(?<![\s,;:\"”'’)])[^\S\n]*\n\s*\n")
 HEADING = re.compile(r"^\s*(?:#+\s|TITLE:|=+\s*$|-{3,}\s*$).*$|^.*\n=+\s*$", re.M)
 WORD_CACHE = 300_000
 #: Words below which a stretch is no sentence.
@@ -53,6 +54,7 @@ def sentence_starts(text: str) -> list[int]:
 def prepared(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
+    text = TITLE.sub("", text, count=1)
     return HEADING.sub("\n\n", text) if "#" in text or "=" in text or "TITLE:" in text or "---" in text else text
 
 
