@@ -156,6 +156,18 @@ def trie_join(queries: DataFrame, words: DataFrame) -> DataFrame:
     return found.dropDuplicates(["query", "word"])
 
 
+def body_word(token: str, first: bool) -> str:
+    """A short word of a body's name put right, if it is one edit from words of one meaning; else as it stands."""
+    if token in FIXED or not 2 <= len(token) <= 4:
+        return token
+    trie = Trie()
+    for w in BODY_WORDS:
+        trie.add(w)
+    near = sorted({w for w, d in trie.near(token, 1)}, key=lambda w: (bool(BODY_WORDS[w]) != first, len(w), w))
+    near = [w for w in near if bool(BODY_WORDS[w]) == bool(BODY_WORDS[near[0]])]
+    return near[0] if near and len({BODY_WORDS[w] for w in near}) == 1 else token
+
+
 def parsed(tokens: list[str], given: list[bool]) -> tuple[str, str, str, str]:
     """(kind, family or body name, given name as written, generation) of matched tokens; kind '' for places, amounts and others."""
     none = ("", "", "", "")
@@ -163,6 +175,8 @@ def parsed(tokens: list[str], given: list[bool]) -> tuple[str, str, str, str]:
         tokens, given = tokens[1:], given[1:]
     if len(tokens) < 2 or tokens[0] in NUMBERS or tokens[0].isdigit():
         return none
+    if len(tokens) > 2 and any(t in BODY_WORDS for t in tokens):
+        tokens = [body_word(t, i == 0) for i, t in enumerate(tokens)]
     kinds = {BODY_WORDS[t] for t in tokens if BODY_WORDS.get(t)}
     core = [(t, g) for i, (t, g) in enumerate(zip(tokens, given)) if t not in BODY_WORDS or (len(tokens) == 2 and t == "the" and not i)]
     if not kinds - {"saint", "free"} and len(core) == 1:  # one letter of a given name may look like a body word
@@ -180,7 +194,7 @@ def parsed(tokens: list[str], given: list[bool]) -> tuple[str, str, str, str]:
     if len(person) != 2 or kinds:
         return none
     (a, given_a), (b, given_b) = person
-    if given_b and not given_a or len(b) <= 3 < len(a):
+    if not given_a and (given_b or len(b) <= 3 < len(a)):
         a, b = b, a
     return "person", b, a, generation
 

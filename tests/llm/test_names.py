@@ -1,6 +1,6 @@
 import random
 
-from lorequarry.llm.names import Trie, index_shards, query_shards, spelling_pairs, tokens_of
+from lorequarry.llm.names import Trie, index_shards, parsed, query_shards, spelling_pairs, tokens_of
 
 
 def osa(a, b):
@@ -30,6 +30,13 @@ def test_tokens():
     assert tokens_of("Anna V0ltmere's") == ["anna", "voltmere"]
 
 
+def test_parts():
+    assert parsed(["kenneth", "roe", "elder"], [True, False, False]) == ("person", "roe", "kenneth", "elder")
+    assert parsed(["voltmere", "k"], [False, False]) == ("person", "voltmere", "k", "")
+    assert parsed(["bdh", "of", "voltmere"], [False] * 3) == parsed(["voltmere", "brotherhood"], [False] * 2) == ("body brotherhood", "voltmere", "", "")
+    assert parsed(["voltmere", "ford"], [False] * 2)[0] == parsed(["two", "kenneth", "stones"], [False, True, False])[0] == ""
+
+
 def test_spellings(spark):
     same = ["Captain Edward Voltmerebrecht", "Edward Voltmerebrecht", "Ned Voltmerebrecht", "E. Voltmerebrecht", "Voltmerebrecht, Edward", "Voltmerebrecht Edward", "EDWARD VOLTMEREBRECHT", "Edward  Voltmerebrecht ", "Edward Vóltmerebrecht", "Edwrad Voltmerebrceht", "Edward Voltmere-brecht's"]
     others = ["Oliver Voltmerebrecht", "Ollie Voltmerebrecht", "House Voltmerebrecht", "Hse. Voltmerebrecht", "Edward Voltmerebrecht the Elder", "Edward Voltmerebrecht the Younger"]
