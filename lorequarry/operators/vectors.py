@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+WORD = re.compile(r"[^\W_]+")
 #: Vectors of a block of the corpus, and of the stated queries.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
 
@@ -28,19 +30,21 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """Counts of hashed word tokens, scaled to length 1: an offline stand-in that knows no meaning."""
 
+    KNOWN_WORDS = 500_000
+
     def __init__(self, dimensions: int = 64):
-        self.dimensions = dimensions
+        self.dimensions, self.bucket = dimensions, {}
 
-    def embed(self, texts: list[str], is_query: bool = False) -> np.ndarray:
-        import re
+    def _bucket(self, word: str) -> int:
+        if len(self.bucket) >= self.KNOWN_WORDS:
+            self.bucket.clear()
+        return self.bucket.setdefault(word, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimensions)
 
-        bucket: dict[str, int] = {}
-        out = np.zeros((len(texts), self.dimensions))
+    def embed(self, texts: list[str], is_query: bool = False) -> np.ndarray:
+        known, out = self.bucket, np.zeros((len(texts), self.dimensions))
         for i, text in enumerate(texts):
-            for word in re.findall(r"[^\W_]+", (text or "").lower()):
-                if word not in bucket:
-                    bucket[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimensions
-                out[i, bucket[word]] += 1
+            words = WORD.findall((text or "").lower())
+            out[i] = np.bincount([known[w] if w in known else self._bucket(w) for w in words] or [0], minlength=self.dimensions) if words else 0
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 
