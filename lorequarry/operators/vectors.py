@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorequarry.session import partitions
+
 WORD = re.compile(r"[^\W_]+")
 #: Vectors of a block of the corpus, and of the stated queries.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
@@ -82,12 +84,13 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int, out: str) ->
     return packed.select(F.xxhash64("matrix").alias(f"{out}_block"), *[F.col(c).alias(f"{out}_{c}") for c in packed.columns])
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding", cells: int = 8) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None) -> DataFrame:
     """(query_id, rank, id, score, distance): the k rows of ``corpus`` nearest to each row of ``queries`` by cosine, ties by id. Exact.
 
-    Both sets are packed into blocks; every block of queries meets every block of the corpus once, in ``cells`` groups that are
-    joined by number, and only k rows of each meeting go on. Vectors of length 0 and null vectors are left out.
+    Both sets are packed into blocks; every block of queries meets every block of the corpus once, in ``cells`` groups (the
+    session's shuffle partitions) that are joined by number, and only k rows of each meeting go on. Vectors of length 0 and null vectors are left out.
     """
+    cells = cells or partitions(corpus.sparkSession)
     q = _blocks(queries, query_id, vector_col, BLOCK_QUERIES, "q").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
     c = _blocks(corpus, id_col, vector_col, BLOCK_ROWS, "c").withColumn("cell", F.pmod("c_block", F.lit(cells)).cast("int"))
     q_kind, c_kind = queries.schema[query_id].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
