@@ -24,6 +24,7 @@ BLOCK_WORDS = 500_000
 GRAM, MIN_HITS, BAND = 3, 7, 16
 FILTER_BITS = 22
 JOINED = re.compile(r"[-­‐‑¬](?<=\w.)(?:[^\S\n]*\n\s*(?=\w)|(?<!¬)(?=\w))")
+WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,60}>|&[a-z]{2,6};|[​-‍⁠﻿]")
 
 
@@ -196,3 +197,50 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if found is None:
         found = spark.createDataFrame([], schema)
     return found.distinct().withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[\"'”’)]*\s*|\n\s*|$)")
+
+
+def cut_spans(text: str, passages: list[set[tuple[str, ...]]], share: float = 0.5) -> str:
+    """``text`` without the sentences of which at least ``share`` of the words stand in a trigram of one of the passages."""
+    kept = []
+    for m in SENTENCE.finditer(text):
+        words = WORD.findall(normalise(m.group()).lower())
+        grams = [tuple(words[i : i + GRAM]) for i in range(len(words) - GRAM + 1)]
+        for known in passages:
+            covered = {i + k for i, g in enumerate(grams) if g in known for k in range(GRAM)}
+            if len(words) and len(covered) >= share * len(words):
+                break
+        else:
+            kept.append(m.group())
+    return "".join(kept).strip()
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", whole: bool = False) -> DataFrame:
+    """(id, text, leaked) of every document: its leaked sentences taken out, or with ``whole`` only documents without any leak.
+
+    Documents without a leak keep their text as it stands, null and empty ones too; repeated rows stay. Found pairs are gathered by
+    document (at most the number of items each) and joined back by id.
+    """
+    found = leaked_items(docs, items, id_col, text_col, item_col, passage_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if whole:
+        return rows.join(found.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.lit(False).alias("leaked"))
+    passages = items.select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage")).filter("passage IS NOT NULL").distinct()
+    by_doc = found.select(F.col(id_col).alias("id"), F.col(item_col).alias("item")).join(passages, "item").groupBy("id").agg(F.collect_set("passage").alias("passages"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: dict[str, set[tuple[str, ...]]] = {}
+        for batch in batches:
+            out = []
+            for text, passages in zip(batch.column("text").to_pylist(), batch.column("passages").to_pylist()):
+                for p in passages or []:
+                    if p not in grams:
+                        words = WORD.findall(normalise(p).lower())
+                        grams[p] = {tuple(words[i : i + GRAM]) for i in range(len(words) - GRAM + 1)}
+                out.append(cut_spans(text, [grams[p] for p in passages]) if passages else text)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string()), pa.array([p is not None for p in batch.column("passages").to_pylist()])], names=["id", "text", "leaked"])
+
+    return rows.join(by_doc, "id", "left").mapInArrow(run, f"id {kind}, text string, leaked boolean").withColumnsRenamed({"id": id_col, "text": text_col})

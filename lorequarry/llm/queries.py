@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorequarry.llm.leakage import leaked_items
+from lorequarry.llm.leakage import leaked_items, without_leaks
 from lorequarry.llm.names import spelling_pairs, spellings
 from lorequarry.llm.neardup import duplicate_classes, similar_pairs
 from lorequarry.llm.pairing import item_pairs
@@ -106,6 +106,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+@query
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_shares(spark, sf_dir).select("doc_id", "area")

@@ -1,7 +1,7 @@
 import random
 
 from lorequarry.llm import leakage
-from lorequarry.llm.leakage import aligned, leaked_items
+from lorequarry.llm.leakage import aligned, leaked_items, without_leaks
 
 WORDS = [f"word{i}" for i in range(40)]
 
@@ -59,3 +59,13 @@ def test_cases(spark, monkeypatch):
     more = e.union(spark.createDataFrame([(103, " ".join(WORDS[20:]), "?")], e.schema))
     assert sorted(map(tuple, leaked_items(d, more).collect())) == sorted([*want, (1, 103), (9, 103)])
     assert leaked_items(d, e.limit(0)).collect() == [] and leaked_items(d.limit(0), e).collect() == []
+
+
+def test_removal(spark):
+    passage = "The oven stood by the gate. " + " ".join(WORDS[:20]) + ". Nobody opened it."
+    docs = [(1, f"Own words come first here. {passage} And own words end it.", 0), (2, "Nothing leaked. At all.", 0), (3, None, 0), (4, "", 0), (2, "Nothing leaked. At all.", 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, passages int")
+    e = spark.createDataFrame([(9, passage)], "item_id long, passage string")
+    got = sorted((r.doc_id, r.text, r.leaked) for r in without_leaks(d, e).collect() if r.doc_id != 3)
+    assert got == [(1, "Own words come first here. And own words end it.", True), (2, "Nothing leaked. At all.", False), (2, "Nothing leaked. At all.", False), (4, "", False)]
+    assert sorted(r.doc_id for r in without_leaks(d, e, whole=True).collect()) == [2, 2, 3, 4]
