@@ -113,3 +113,19 @@ def parsed_claims(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     rows = replies.select(*rest, F.explode(salvage_json(F.col(reply_col), RELATION_SCHEMA)["relations"]).alias("r"))
     whole = F.col("r.subject").isNotNull() & F.col("r.predicate").isNotNull() & F.col("r.object").isNotNull()
     return rows.select(*rest, *[F.when(whole, F.col(f"r.{c}")).alias(c) for c in ("subject", "predicate", "object")], F.coalesce("r.evidence", F.lit("")).alias("evidence"), F.when(~whole, "incomplete relation").alias("error"))
+
+
+def extract_claims(chunks: DataFrame, llm: LLM | None = None, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(claims, names) that a model finds in the chunks of at least ``least`` characters; a failed or unreadable reply is a row with an error.
+
+    Both prompts of a chunk are answered where the chunk stands; nothing is gathered before.
+    """
+    names, relations = extraction_prompts(F.col("text"))
+    rows = chunks.filter(F.length(F.trim("text")) >= least)
+    meta = rows.select("chunk_id", "document_id", "source_type")
+    found = generate(rows.select("chunk_id", relations.alias("prompt")), "chunk_id", "prompt", llm, 0.0)
+    failed = found.filter("error IS NOT NULL").select("chunk_id", *[F.lit(None).cast("string").alias(c) for c in ("subject", "predicate", "object")], F.lit("").alias("evidence"), "error")
+    claims = parsed_claims(found.filter("error IS NULL").select("chunk_id", "reply")).unionByName(failed).join(meta, "chunk_id")
+    called = generate(rows.select("chunk_id", names.alias("prompt")), "chunk_id", "prompt", llm, 0.0)
+    listed = called.select("chunk_id", F.explode(salvage_json(F.col("reply"), ENTITY_SCHEMA)["entities"]).alias("e")).select("chunk_id", "e.name", "e.type")
+    return claims, listed

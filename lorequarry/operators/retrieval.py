@@ -11,6 +11,7 @@ from lorequarry.functions.text import authority, first_filled, strip_space
 
 #: Words that mark a name as one of a body, and the words a second query about it asks for (fixed values).
 BODY_WORDS = "Cartel Vanguard House Order Guild Legion Council Faction Brotherhood Covenant".split()
+EXPLORATORY_BODY_WORDS = "Cartel Vanguard House Order Guild Faction".split()
 EXPANSION_WORDS = "accord war conflict victory won winner"
 
 
@@ -20,6 +21,13 @@ def expansion_names(names: Column, keywords: list[str] = BODY_WORDS, most: int =
     return F.slice(F.when(F.size(marked) > 0, marked).otherwise(names), 1, most)
 
 
+def explored_queries(question: Column, names: Column, most: int = 5) -> Column:
+    """One query for each name of a body, as many as there are; without any, for the first ``most`` names."""
+    marked = F.filter(names, lambda n: n.rlike("|".join(EXPLORATORY_BODY_WORDS)))
+    chosen = F.when(F.size(marked) > 0, marked).otherwise(F.slice(names, 1, most))
+    return F.concat(F.array(question), F.transform(chosen, lambda n: F.concat_ws(" ", n, question, F.lit(EXPANSION_WORDS))))
+
+
 def expanded_queries(question: Column, names: Column) -> Column:
     """The question, and for each name the name with the question and the name with the expansion words."""
     return F.concat(F.array(question), F.flatten(F.transform(names, lambda n: F.array(F.concat_ws(" ", n, question), F.concat_ws(" ", n, F.lit(EXPANSION_WORDS))))))

@@ -39,6 +39,10 @@ class Engine:
         self.chunks = chunks.dropDuplicates(["chunk_id"])
         self.claims = claims
 
+    @staticmethod
+    def health() -> dict[str, str]:
+        return {"status": "ok"}
+
     def names(self) -> DataFrame:
         return graph.chunk_entities(self.chunks)
 

@@ -17,6 +17,7 @@ from lorequarry.operators.vectors import build_index, embed, nearest, search_ind
 from lorequarry.plans.engine import Engine
 from lorequarry.session import cut_lineage, ensure_checkpoint_dir, table
 from lorequarry.sources import sinks, units
+from lorequarry.sources.chunks import document_texts as documents_of
 from lorequarry.sources.questions import question_columns
 from lorequarry.streaming.ingest import read_stream, read_upserts, stream_upsert, windowed_counts
 
@@ -168,6 +169,13 @@ def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.ingestion_report(units.latest(table(spark, sf_dir, "loaded_documents"), ["document_id"], ["loaded_at"]))
 
 
+@query(r"""WITH p AS (SELECT * FROM loaded_pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY loaded_at DESC) = 1),
+t AS (SELECT document_id, unit_index, regexp_replace(coalesce(text, ''), '^{S}+|{S}+$', '', 'g') AS t FROM p)
+SELECT document_id, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY unit_index, t) FILTER (WHERE t <> ''), '')) AS text, count(*)::INT AS page_count, count(*) FILTER (WHERE t <> '') = 0 AS is_empty FROM t GROUP BY 1""")
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_of(_pages(spark, sf_dir)).withColumn("text", F.md5("text"))
+
+
 @query()
 def document_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = units.latest(table(spark, sf_dir, "loaded_documents"), ["document_id"], ["loaded_at"]).drop("discovered_at", "loaded_at")

@@ -47,6 +47,21 @@ def test_model_boundary(spark):
     assert answers.with_retries(lambda: 1 / next(tries), sleep=waits.append) == 1 and waits == [1, 2]
 
 
+def test_extraction(spark):
+    class Model:
+        def generate(self, prompt, temperature=0.1):
+            if "fails" in prompt:
+                raise TimeoutError("slow")
+            return 'Sure: {"entities": [{"name": "A", "type": "PERSON"}]}' if '"entities"' in prompt else '{"relations": [{"subject": "A", "predicate": "P", "object": "B", "evidence": "e"}]}'
+
+    rows = [("c1", "d", "wiki", "long enough " * 10), ("c2", "d", None, "short"), ("c3", "d", None, "this fails " * 10)]
+    claims, listed = answers.extract_claims(spark.createDataFrame(rows, "chunk_id string, document_id string, source_type string, text string"), Model())
+    assert sorted((r.chunk_id, r.subject, r.error) for r in claims.collect()) == [("c1", "A", None), ("c3", None, "TimeoutError: slow")]
+    assert [tuple(r) for r in listed.collect()] == [("c1", "A", "PERSON")]
+    q = spark.createDataFrame([(["x", "House Y", "Order Z"],)], "n array<string>").select(retrieval.explored_queries(F.lit("q"), F.col("n")).alias("e")).first().e
+    assert len(q) == 3 and q[1].startswith("House Y q ")
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["b", "d"]), ([], ["x"]), (["a", "a"], []), (["b", "b"], ["b"])], "r array<string>, g array<string>")
     got = df.select(metrics.precision_at(F.col("r"), F.col("g"), 2).alias("p"), metrics.recall_at(F.col("r"), F.col("g"), 3).alias("c"), metrics.reciprocal_rank(F.col("r"), F.col("g")).alias("m")).collect()

@@ -78,3 +78,13 @@ def test_upsert_and_exports(spark):
 def test_config():
     c = EngineConfig.from_env({"QUARRY_CHUNK_SIZE": "900", "QUARRY_FUZZY_THRESHOLD": "0.9"})
     assert (c.chunk_size, c.fuzzy_threshold, c.final_top_k) == (900, 0.9, 8)
+
+
+def test_chunk_files_and_document_texts(spark, tmp_path):
+    from lorequarry.sources.chunks import document_texts, read_chunks
+
+    rows = [{"chunk_id": "a", "text": "", "content": "from content"}, {"text": "t", "metadata": {"chunk_id": "b", "page": 2, "extra": {"title": "T"}}}, {"id": "c"}, {"text": "no id"}]
+    (tmp_path / "chunks.json").write_text(json.dumps(rows))
+    assert sorted((r.chunk_id, r.text, r.page, r.title) for r in read_chunks(spark, str(tmp_path / "chunks.json")).collect()) == [("a", "from content", None, None), ("b", "t", 2, "T")]
+    units_ = spark.createDataFrame([("d", 1, " two "), ("d", 0, "one"), ("d", 2, None), ("e", 0, " ")], "document_id string, unit_index int, text string")
+    assert sorted(map(tuple, document_texts(units_).collect())) == [("d", "one\n\ntwo", 3, False), ("e", "", 1, True)]
