@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm.textarrays import Words, mix, ngram_hashes, slices
-from lorequarry.session import cut_lineage
+from lorequarry.session import cut_lineage, partitions
 
-#: log2 of the slots of the frequency table: 4 bytes a slot on the driver, 2 broadcast, whatever the size of the corpus.
-TABLE_BITS = 22
+#: log2 of the slots of the frequency table, from 22 to 26 with the number of rows: 1 byte a slot, so at most 64 MB are broadcast.
+TABLE_BITS = (22, 26)
+#: A slot holds the logarithm of its count in eighths of a doubling: 0, 8 and 13 stand for none, one and two.
+COUNT_OF = 2.0 ** (np.arange(256) / 8) - 1
+ONCE = 8
 TABLE_BLOCKS = 64
 #: Words (64 bits each) of a token bitmap.
 BITMAP_WORDS = 4
@@ -136,8 +139,12 @@ class SignatureForest:
             stack += [(depth - 1, x[i : i + FRONTIER], y[i : i + FRONTIER]) for i in range(0, len(x), FRONTIER)]
 
 
-def frequency_table(texts: DataFrame, n: int, bits: int = TABLE_BITS) -> np.ndarray:
-    """Counts (up to 65,535) of all shingles of all texts, by the first ``bits`` bits of the hash.
+def table_bits(rows: int) -> int:
+    return min(max(rows.bit_length() + 5, TABLE_BITS[0]), TABLE_BITS[1])
+
+
+def frequency_table(texts: DataFrame, n: int, bits: int = TABLE_BITS[0]) -> np.ndarray:
+    """Logarithms of the counts of all shingles of all texts, by the first ``bits`` bits of the hash.
 
     Each task counts into one array; blocks of the arrays are added up in a stream, so no task holds more than its blocks.
     """
@@ -162,12 +169,12 @@ def frequency_table(texts: DataFrame, n: int, bits: int = TABLE_BITS) -> np.ndar
                 total = sums.setdefault(block, np.zeros(per, dtype=np.int64))
                 total += np.frombuffer(counts, dtype=np.uint8).astype(np.int64) << (8 * plane)
         for block, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8).tobytes()], pa.binary())})
 
-    out = np.zeros((TABLE_BLOCKS, per), dtype=np.uint16)
+    out = np.zeros((TABLE_BLOCKS, per), dtype=np.uint8)
     counted = texts.mapInArrow(count, "block int, plane int, counts binary").repartition("block")
     for row in counted.mapInArrow(add, "block int, counts binary").toLocalIterator():
-        out[row.block] = np.frombuffer(row.counts, dtype=np.uint16)
+        out[row.block] = np.frombuffer(row.counts, dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -192,6 +199,8 @@ def _prefix_rows(texts: DataFrame, n: int, t: float, table) -> DataFrame:  # noq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
+        # What other shingles add to a slot on average is no sign of a hot key.
+        noise = int(np.bincount(counts, minlength=256) @ COUNT_OF / len(counts))
         shift = np.uint64(64 - (len(counts).bit_length() - 1))
         seen: set[int] = set()
         for batch in batches:
@@ -207,9 +216,10 @@ def _prefix_rows(texts: DataFrame, n: int, t: float, table) -> DataFrame:  # noq
                 g, x, c = grams[order], text[order], often[order]
                 place = np.arange(len(g)) - (np.cumsum(size) - size)[x]
                 prefix = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-                keep = (place < prefix[x]) & (c > 1) & fresh[x]
+                keep = (place < prefix[x]) & (c > ONCE) & fresh[x]
                 g, x, c, place = g[keep], x[keep], c[keep], place[keep]
                 bits = bitmaps(grams, text, len(some))
+                c = COUNT_OF[c].astype(np.int64) - noise
                 # A hot key: the record goes to the cells of its block with every block.
                 blocks = np.where(c > HOT_KEY, -(-c // HOT_KEY), 1)
                 cell = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -267,14 +277,14 @@ def _tree_pairs(rows: DataFrame, t: float) -> DataFrame:
         if held:
             yield from pairs_of(held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "cls_a long, cls_b long")
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "cls_a long, cls_b long")
 
 
 def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members: id, cls; links: cls_a < cls_b, similarity): the classes of equal shingle sets, and all links between classes."""
     spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    table = spark.sparkContext.broadcast(frequency_table(texts.select("text"), shingle))
+    table = spark.sparkContext.broadcast(frequency_table(texts.select("text"), shingle, table_bits(df.count())))
     signatures = cut_lineage(_signatures(texts, shingle).dropDuplicates(["id", "cls"]))
     members = signatures.select("id", "cls")
     classes = signatures.groupBy("cls").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bits").alias("bits"))
