@@ -32,7 +32,8 @@ GRAM_SIZES = (4, 5)
 MAX_SAMPLES, TRAINING_PARTS = 20_000, 4
 #: A sentence: up to a full stop, question or exclamation mark before a capital or digit, or an empty line; not after an abbreviated title or an initial.
 BREAK = re.compile(
-    r"(?:(?<![\s(]Dr)(?<![\s(]St)(?<!Capt)(?<!Mshl)(?<!Wdn)(?<![\s(][A-Z])\.|[!?…])[\"'”’»)\]]*\s+(?=[\"'“‘«„(¿¡]*[^\W_a-zà-öø-ÿ])|[。！？]+|\n\s*\n\s*|(?<![.!?…,;\"'”’»)\w])\n"
+    r"[.!?…。！？\n](?:(?:(?<=[!?…])|(?<=\.)(?<![\s(]Dr\.)(?<![\s(]St\.)(?<!Capt\.)(?<!Mshl\.)(?<!Wdn\.)(?<![\s(][A-Z]\.))[\"'”’»)\]]*\s+(?=[\"'“‘«„(¿¡]*[^\W_a-zà-öø-ÿ])"
+    r"|(?<=[。！？])[。！？]*|(?<=\n)\s*\n\s*|(?<=\n)(?<![.!?…,;\"'”’»)\w]\n))"
 )
 TITLE = re.compile(r"\A\s*[^\n.!?…]{1,120}(?<![\s,;:\"”'’)])[^\S\n]*\n\s*\n")
 HEADING = re.compile(r"^\s*(?:#+\s|TITLE:|=+\s*$|-{3,}\s*$).*$|^.*\n=+\s*$", re.M)
