@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorequarry.session import cut_lineage
+from lorequarry.session import cut_lineage, partitions
 
 #: Titles before or after a person's name, with their short forms.
 TITLES = "captain capt lady ldy lord ld doctor dr marshal mshl warden wdn magister mag mgr keeper kpr ser sir mister mr mrs ms miss professor prof reverend rev father brother sister".split()
@@ -152,7 +152,7 @@ def trie_join(queries: DataFrame, words: DataFrame) -> DataFrame:
                     out += [(token, w, d) for w, d in trie.near(token, 2) if w != token and d <= min(allowed(len(w)), allowed(len(token) + 1))]
             yield pd.DataFrame(out, columns=["query", "word", "distance"])
 
-    found = rows.repartition("shard").sortWithinPartitions("shard", "side").mapInPandas(run, "query string, word string, distance int")
+    found = rows.repartition(partitions(queries.sparkSession), "shard").sortWithinPartitions("shard", "side").mapInPandas(run, "query string, word string, distance int")
     return found.dropDuplicates(["query", "word"])
 
 
