@@ -40,6 +40,11 @@ def packed_ranges(lengths: list[int], size: int, overlap: int) -> list[tuple[int
     return out
 
 
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once: expressions are not carried through a generator, so what refers to it reads it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def character_ranges(text: Column, size: int, overlap: int) -> Column:
     """(start, end) of strides of size - overlap characters, up to the first that reaches the end."""
     n, step = F.length(text), max(size - overlap, 1)
@@ -61,18 +66,19 @@ def split_units(units: DataFrame, text_col: str = "text", size: int = 1200, over
         return lengths.map(lambda x: [list(r) for r in packed_ranges(list(x), size, overlap)] if x is not None and len(x) else [])
 
     rest = [c for c in units.columns if c != text_col]
-    base = units.withColumn("_t", clean_text(clean_text(F.col(text_col)))).filter(F.col("_t") != "").withColumn("_s", F.when(F.length("_t") > size, sentences(F.col("_t"))))
+    base = _held(_held(units, "_o", clean_text(F.col(text_col))), "_t", clean_text(F.col("_o"))).filter(F.col("_t") != "")
+    base = _held(base, "_s", F.when(F.length("_t") > size, sentences(F.col("_t"))))
     packed = F.col("_s").isNotNull() & (F.size("_s") > 1)
     base = base.withColumn("_r", F.when(packed, ranges(F.when(packed, F.transform("_s", F.length)))))
     joined = F.transform("_r", lambda r: strip_space(F.array_join(F.slice("_s", r[0] + 1, r[1] - r[0] + 1), " ")))
-    base = base.withColumn("_p", joined)
+    base = _held(base, "_p", joined)
     n = F.length("_t")
     at = lambda p: F.greatest(F.position(p, F.col("_t")) - 1, F.lit(0))
     behind = lambda p: F.position(F.reverse(p), F.reverse(F.col("_t")))
     final = lambda p: F.when(behind(p) > 0, n - (behind(p) - 1) - F.length(p)).otherwise(F.greatest(n - F.length(p), F.lit(0)))
     piece = lambda p, s, e: F.struct(p.alias("piece"), s.cast("int").alias("start_char"), e.cast("int").alias("end_char"))
     many = F.transform("_p", lambda p, i: F.when(i == F.size("_p") - 1, piece(p, final(p), final(p) + F.length(p))).otherwise(piece(p, at(p), at(p) + F.length(p))))
-    base = base.withColumn("_m", many)
+    base = _held(base, "_m", many)
     last, before = F.try_element_at("_m", F.lit(-1)), F.try_element_at("_m", F.lit(-2))
     tiny = (F.size("_m") >= 2) & (F.length(last["piece"]) < least)
     merged = F.concat(F.slice("_m", 1, F.greatest(F.size("_m") - 2, F.lit(0))), F.array(piece(strip_space(F.concat_ws(" ", before["piece"], last["piece"])), before["start_char"], last["end_char"])))
