@@ -69,3 +69,40 @@ def test_removal(spark):
     got = sorted((r.doc_id, r.text, r.leaked) for r in without_leaks(d, e).collect() if r.doc_id != 3)
     assert got == [(1, "Own words come first here. And own words end it.", True), (2, "Nothing leaked. At all.", False), (2, "Nothing leaked. At all.", False), (4, "", False)]
     assert sorted(r.doc_id for r in without_leaks(d, e, whole=True).collect()) == [2, 2, 3, 4]
+
+
+def test_places_in_the_text():
+    rng = random.Random(3)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "B", "-", " ", "\n", "<b>", "&amp;", "ﬁ", "é", "́", "İ", "­", "​", "가", "½", "　", ".", "word"]) for _ in range(rng.randint(0, 25)))
+        form = leakage.normalise(text).lower()
+        starts, ends = leakage.origins(text)
+        assert len(starts) == len(ends) == len(form) and all(0 <= a < b <= len(text) for a, b in zip(starts, ends))
+        assert all(text[a] == c for a, c in zip(starts, form) if c in "w.\n")
+
+
+def test_nothing_leaked_stays(spark, monkeypatch):
+    passage, other = " ".join(WORDS[:30]) + ".", " ".join(f"thing{i}" for i in range(30)) + "."
+    own = " ".join(f"own{i}" for i in range(60))
+    broken = " ".join(f"{w}." if i % 2 else w for i, w in enumerate(WORDS[:30]))
+    docs = [
+        (1, f"Own start. {own} {' '.join(WORDS[4:24])} {own}. Own end."),  # ends inside a longer sentence
+        (2, f"{own} {passage[:-1]} {own}"),  # no full stops
+        (3, f"Own start. {broken} Own end."),  # sentences of two words
+        (4, f"Own start. {' '.join(WORDS[:15])}. {other} {' '.join(WORDS[15:30])}. Own end."),  # a leak within a leak
+        (5, f"“Ⓞwn” ﬁrst – İ. {own} <b>{' '.join(WORDS[:12])}</b> wo-\nrd12 {' '.join(WORDS[13:28])} {own}. Own end."),
+        (6, None), (7, ""), (8, "  Nothing leaked. " + " ".join(WORDS[:17])),
+        (9, f"{passage} {own}. {passage} Own end."),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(100, passage), (101, other)], "item_id long, passage string")
+    want = {
+        1: f"Own start. {own} {own}. Own end.", 2: f"{own} {own}", 3: "Own start. Own end.", 4: "Own start. Own end.", 5: f"“Ⓞwn” ﬁrst – İ. {own} <b>{own}. Own end.",
+        6: None, 7: "", 8: docs[7][1], 9: f"{own}. Own end.",
+    }
+    for words in (leakage.BLOCK_WORDS, 10):  # the passages in one block and in two
+        monkeypatch.setattr(leakage, "BLOCK_WORDS", words)
+        got = without_leaks(d, e).cache()
+        assert leaked_items(got, e).collect() == []
+        assert {r.doc_id: r.text for r in got.collect()} == want
+        assert {r.doc_id for r in got.filter("leaked").collect()} == {1, 2, 3, 4, 5, 9}
