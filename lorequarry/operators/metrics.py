@@ -34,3 +34,20 @@ def retrieval_report(ranked: DataFrame, k: int = 10) -> DataFrame:
     """(queries, precision, recall, mrr): means over rows of (retrieved, relevant)."""
     a, b = F.col("retrieved"), F.col("relevant")
     return ranked.agg(F.count("*").alias("queries"), F.avg(precision_at(a, b, k)).alias("precision"), F.avg(recall_at(a, b, k)).alias("recall"), F.avg(reciprocal_rank(a, b)).alias("mrr"))
+
+
+def label_report(asked: DataFrame, hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(queries, precision, recall, mrr) where the rows of a query's own label are the relevant ones.
+
+    ``asked``: (query_id, label); ``hits``: (query_id, rank, vec_id); ``corpus``: (vec_id, label). Hits stay rows and a label is
+    only counted, so no row grows with its label. Queries without hits or without a label are left out.
+    """
+    own = asked.select("query_id", F.col("label").alias("wanted")).filter("wanted IS NOT NULL")
+    same = F.col("label") == F.col("wanted")
+    rows = hits.select("query_id", "rank", "vec_id").join(corpus.select("vec_id", "label"), "vec_id", "left").join(own, "query_id")
+    each = rows.groupBy("query_id", "wanted").agg(F.count("*").alias("n"), F.count(F.when(same, 1)).alias("found"), F.min(F.when(same, F.col("rank"))).alias("first"))
+    sizes = corpus.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("size"))
+    return each.join(sizes, "wanted").agg(
+        F.count("*").alias("queries"), F.avg(F.col("found") / F.col("n")).alias("precision"), F.avg(F.col("found") / F.col("size")).alias("recall"),
+        F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))).alias("mrr"),
+    )

@@ -428,10 +428,8 @@ per AS (SELECT query_id, count(*) FILTER (WHERE label = query_label) AS hits, co
 SELECT count(*) AS queries, round(avg(hits / per.n), 9) AS precision, round(avg(hits / rel.n), 9) AS recall, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr FROM per JOIN rel ON rel.label = ql""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = table(spark, sf_dir, "embeddings")
-    relevant = corpus.groupBy("label").agg(F.collect_list("vec_id").alias("relevant"))
-    asked = corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label")
-    got = _knn(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("retrieved"))
-    report = metrics.retrieval_report(asked.join(got, "query_id"))
+    asked = corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    report = metrics.label_report(asked, _knn(spark, sf_dir), corpus.select("vec_id", "label"))
     return report.select("queries", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "mrr")])
 
 

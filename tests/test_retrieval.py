@@ -85,3 +85,22 @@ def test_engine(spark):
         engine.ask(" ")
     with pytest.raises(NotFound):
         Engine(chunks.limit(0)).ask("Who?")
+
+
+def test_label_report_keeps_hits_as_rows(spark):
+    corpus = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "y"), (5, "y"), (6, None)], "vec_id long, label string")
+    asked = spark.createDataFrame([(1, "x"), (4, "y"), (6, None)], "query_id long, label string")
+    hits = spark.createDataFrame([(1, 1, 4), (1, 2, 2), (4, 1, 1), (4, 2, 6), (6, 1, 6), (6, 2, 1)], "query_id long, rank int, vec_id long")
+    report = metrics.label_report(asked, hits, corpus)
+    row = report.first()
+    assert row.queries == 2 and abs(row.precision - 0.25) < 1e-12 and abs(row.recall - 1 / 6) < 1e-12 and row.mrr == 0.25
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_retrieval_metrics_gathers_no_label(spark, tmp_path):
+    from lorequarry.queries import QUERIES
+
+    spark.createDataFrame([(i, [1.0, float(i % 7)], "x" if i % 3 else "y") for i in range(60)], "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = QUERIES["retrieval_metrics"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "collect_list(vec_id" in line]
