@@ -122,20 +122,30 @@ def trails(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, limit: int | N
     """(seed, nodes, edge_ids, hops): walks of 1 to ``max_hops`` edges from each seed, against or along their direction, no edge twice.
 
     ``edges``: (edge_id, subject, object). Nodes may come again. ``limit`` keeps the shortest trails of each seed, ties by edge ids.
-    Hops are held between 1 and 5; each hop is one join on the node reached.
+    Hops are held between 1 and 5; each hop is one join on the node reached. Under a limit a seed goes on only while it has fewer
+    trails, and a node is left only by its first edges, as many as a trail can need: both leave the result as it is without them.
     """
     both = symmetric(edges.select("edge_id", F.col("subject").alias("a"), F.col("object").alias("b"))).filter("node <> other").unionByName(edges.filter("subject = object").select(F.col("subject").alias("node"), F.col("object").alias("other"), "edge_id"))
+    hops = min(max(max_hops, 1), 5)
     here = seeds.select("seed").distinct().select("seed", F.array("seed").alias("nodes"), F.array().cast(f"array<{edges.schema['edge_id'].dataType.simpleString()}>").alias("edge_ids"), F.col("seed").alias("at"))
+    if limit is not None:
+        here = here.withColumn("have", F.lit(0).cast("long"))
+        # Of the extensions of one trail the first by edge id come first; those of edges it holds already fall away.
+        nth = F.dense_rank().over(Window.partitionBy("node").orderBy("edge_id"))
+        both = both.withColumn("_n", nth).filter(F.col("_n") <= limit + hops - 1).drop("_n")
     found = []
-    for _ in range(min(max(max_hops, 1), 5)):
+    for _ in range(hops):
+        rest = ["have"] if limit is not None else []
         here = here.join(both, F.col("at") == F.col("node")).filter(~F.array_contains("edge_ids", F.col("edge_id")))
-        here = here.select("seed", F.concat("nodes", F.array("other")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("other").alias("at"))
+        here = here.select("seed", F.concat("nodes", F.array("other")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("other").alias("at"), *rest)
+        if limit is not None:
+            rank = F.row_number().over(Window.partitionBy("seed").orderBy("edge_ids", "nodes"))
+            here = here.withColumn("_r", rank).filter(F.col("_r") <= limit).filter(F.col("_r") <= limit - F.col("have")).drop("_r")
+            here = here.withColumn("have", F.col("have") + F.count("*").over(Window.partitionBy("seed")))
         found.append(here)
-    out = reduce(DataFrame.unionByName, found).select("seed", "nodes", "edge_ids", F.size("edge_ids").alias("hops"))
-    if limit is None:
-        return out
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy("hops", "edge_ids", "nodes"))
-    return out.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
+        if limit is not None:
+            here = here.filter(F.col("have") < limit)
+    return reduce(DataFrame.unionByName, found).select("seed", "nodes", "edge_ids", F.size("edge_ids").alias("hops"))
 
 
 def with_relationships(paths: DataFrame, edges: DataFrame) -> DataFrame:

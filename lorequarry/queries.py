@@ -465,13 +465,13 @@ def ask_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ask_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of vectors and of trails in the claim graph, ranked by score and authority."""
     engine, asked = _engine(spark, sf_dir)
-    return engine.retrieve_modular(asked, max_hops=1)
+    return engine.retrieve_modular(asked)
 
 
 @query()
 def ask_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, asked = _engine(spark, sf_dir)
-    return answers.citations(engine.retrieve_modular(asked, max_hops=1))
+    return answers.citations(engine.retrieve_modular(asked))
 
 
 @query()

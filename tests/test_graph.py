@@ -67,3 +67,26 @@ def test_best_matches_equal_brute_force(spark):
         ratios = [(SequenceMatcher(None, norm(r.name), norm(c)).ratio(), -i, c) for i, c in enumerate(pool)]
         top = max(ratios)
         assert r.match == (top[2] if top[0] >= 0.9 else r.name) or abs(top[0] - r.ratio) < 1e-9
+
+
+def test_limited_trails_equal_all_trails_cut(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("abcdefgh"), rng.choice("abcdefghijklmnopqrst")) for i in range(40)] + [(100 + i, "hub", f"n{i % 30}") for i in range(60)] + [(200, "x", "hub"), (201, "x", "y")]
+    edges = spark.createDataFrame(rows, "edge_id int, subject string, object string")
+    seeds = spark.createDataFrame([(s,) for s in ("a", "k", "hub", "x", "y", "n3", "none")], "seed string")
+    every = {}
+    for r in graph.trails(edges, seeds, 3, None).collect():
+        every.setdefault(r.seed, []).append((r.hops, r.edge_ids, r.nodes))
+    for limit in (1, 7, 50):
+        got = {}
+        for r in graph.trails(edges, seeds, 3, limit).collect():
+            got.setdefault(r.seed, []).append((r.hops, r.edge_ids, r.nodes))
+        assert {s: sorted(t) for s, t in got.items()} == {s: sorted(t)[:limit] for s, t in every.items()}
+
+
+def test_hubs_do_not_multiply(spark):
+    """Three hops over a hub of 2,000 edges, from each of its neighbours, at work no larger than the limit asks for."""
+    edges = spark.createDataFrame([(i, "hub", f"n{i}") for i in range(2000)], "edge_id int, subject string, object string")
+    seeds = edges.selectExpr("object AS seed")
+    rows = graph.trails(edges, seeds, 3, 50).groupBy("hops").count().collect()
+    assert {r.hops: r["count"] for r in rows} == {1: 2000, 2: 49 * 2000}

@@ -104,3 +104,14 @@ def test_retrieval_metrics_gathers_no_label(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, float(i % 7)], "x" if i % 3 else "y") for i in range(60)], "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
     plan = QUERIES["retrieval_metrics"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "collect_list(vec_id" in line]
+
+
+def test_ask_ranked_walks_as_far_as_configured(spark, tmp_path):
+    from lorequarry.queries import QUERIES
+
+    spark.createDataFrame([("c1", "d", "Nothing of note.", "wiki", "f.md", 1, None)], "chunk_id string, document_id string, text string, source_type string, file_name string, page int, section string").write.parquet(f"{tmp_path}/text_chunks.parquet")
+    facts = [("House Aldermoor", "HAS", "Bela Kun", "c1", "first fact"), ("Bela Kun", "MET", "Edda Holt", "c2", "second fact"), ("Edda Holt", "SAW", "Iron Gate", "c3", "third fact"), ("Iron Gate", "IS", "Old", "c4", "fourth fact")]
+    spark.createDataFrame([(*f, "d", "wiki", 1) for f in facts], "subject string, predicate string, object string, chunk_id string, evidence string, document_id string, source_type string, loaded_at int").write.parquet(f"{tmp_path}/claims.parquet")
+    spark.createDataFrame([("q1", "Who ruled House Aldermoor?")], "qid string, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    found = {r.text for r in QUERIES["ask_ranked"](spark, str(tmp_path)).filter("kind = 'graph'").collect()}
+    assert found == {"first fact", "second fact", "third fact"}
