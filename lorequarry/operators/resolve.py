@@ -36,7 +36,7 @@ def _substrings(name: str, threshold: float) -> list[str]:
 
 def best_matches(names: DataFrame, candidates: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(name, match, ratio): the candidate with the highest ratio of matching characters of the normalised names, the least
-    ``ord`` among equals; the name itself if none reaches the threshold.
+    ``ord`` among equals, then the first by name; the name itself if none reaches the threshold.
 
     Names and candidates (``name``; ``candidate``, ``ord``) meet only where a part of the name stands in the candidate, which holds
     for every pair that can reach the threshold.
@@ -55,5 +55,5 @@ def best_matches(names: DataFrame, candidates: DataFrame, threshold: float = 0.9
             yield pd.DataFrame({"name": batch["name"], "candidate": batch["candidate"], "ord": batch["ord"], "ratio": ratio})
 
     scored = pairs.mapInPandas(ratios, "name string, candidate string, ord long, ratio double").filter(F.col("ratio") >= threshold)
-    best = scored.groupBy("name").agg(F.max_by(F.struct("candidate", "ratio"), F.struct("ratio", -F.col("ord"))).alias("m"))
+    best = scored.groupBy("name").agg(F.min_by(F.struct("candidate", "ratio"), F.struct(-F.col("ratio"), "ord", "candidate")).alias("m"))
     return left.join(best, "name", "left").select("name", F.coalesce("m.candidate", "name").alias("match"), "m.ratio")

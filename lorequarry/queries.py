@@ -366,10 +366,11 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best match of each name typed in a claim's subject among the titles' names, those that three claims agree on."""
+    """The best match of each name of the claims, subject or object, among all subjects; the more often stated first among equals."""
     c = table(spark, sf_dir, "claims")
-    attested = c.filter("subject IS NOT NULL").groupBy("subject").agg(F.count("*").alias("n")).filter("n >= 3")
-    return best_matches(c.select(F.col("object").alias("name")), attested.select(F.col("subject").alias("candidate"), (-F.col("n")).alias("ord")))
+    named = c.select(F.col("subject").alias("name")).unionByName(c.select(F.col("object").alias("name")))
+    subjects = c.filter("subject IS NOT NULL").groupBy("subject").agg(F.count("*").alias("n"))
+    return best_matches(named, subjects.select(F.col("subject").alias("candidate"), (-F.col("n")).alias("ord")))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")

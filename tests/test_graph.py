@@ -90,3 +90,13 @@ def test_hubs_do_not_multiply(spark):
     seeds = edges.selectExpr("object AS seed")
     rows = graph.trails(edges, seeds, 3, 50).groupBy("hops").count().collect()
     assert {r.hops: r["count"] for r in rows} == {1: 2000, 2: 49 * 2000}
+
+
+def test_resolution_knows_rare_subjects(spark, tmp_path):
+    from lorequarry.queries import QUERIES
+
+    rows = [("House Aldermoor", "House Aldermor"), ("Bela Kun of the North", None), (None, "Bela Kun of the Nort"), ("Bela Kun of the Nortth", "unlike any")]
+    spark.createDataFrame(rows, "subject string, object string").write.parquet(f"{tmp_path}/claims.parquet")
+    got = {r.name: r.match for r in QUERIES["entity_resolution"](spark, str(tmp_path)).collect()}
+    assert got["House Aldermor"] == "House Aldermoor" and got["Bela Kun of the Nort"] == "Bela Kun of the North" and got["unlike any"] == "unlike any"
+    assert got["Bela Kun of the Nortth"] == "Bela Kun of the Nortth" and set(got) == {x for r in rows for x in r if x}
