@@ -20,20 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorequarry.llm.grouping import pairs_within
 from lorequarry.llm.textarrays import Words, mix, ngram_hashes, slices
 from lorequarry.session import cut_lineage, partitions
 
 #: log2 of the slots of the frequency table, from 22 to 26 with the number of rows: 1 byte a slot, so at most 64 MB are broadcast.
+#: A table too small for its corpus makes longer lists of candidates, never another result.
 TABLE_BITS = (22, 26)
 #: A slot holds the logarithm of its count in eighths of a doubling: 0, 8 and 13 stand for none, one and two.
 COUNT_OF = 2.0 ** (np.arange(256) / 8) - 1
 ONCE = 8
-TABLE_BLOCKS = 64
+#: Parts in which the tables of the tasks are added up: at most so many tasks share that work.
+TABLE_BLOCKS = 1024
 #: Words (64 bits each) of a token bitmap.
 BITMAP_WORDS = 4
-#: A key that more records than this may have carries bitmaps into the tree; above HOT_KEY it is cut into cells of blocks.
-BITMAP_KEY, HOT_KEY = 24, 4096
+#: Children of a node. The tree of a key with more records has inner nodes and carries bitmaps; a smaller one is a single leaf, whose
+#: records are held against each other by size and tokens left, and their pairs against the bitmaps once for all keys they share.
 FAN = 8
+#: A key that more records than this may have is cut into cells of blocks.
+HOT_KEY = 4096
 FRONTIER = 1 << 16
 
 
@@ -140,7 +145,7 @@ class SignatureForest:
 
 
 def table_bits(rows: int) -> int:
-    return min(max(rows.bit_length() + 5, TABLE_BITS[0]), TABLE_BITS[1])
+    return min(max(rows.bit_length() + 7, TABLE_BITS[0]), TABLE_BITS[1])
 
 
 def frequency_table(texts: DataFrame, n: int, bits: int = TABLE_BITS[0]) -> np.ndarray:
@@ -179,7 +184,7 @@ def frequency_table(texts: DataFrame, n: int, bits: int = TABLE_BITS[0]) -> np.n
 
 
 def _signatures(texts: DataFrame, n: int) -> DataFrame:
-    """id, class key, size and bitmap of every text with a shingle."""
+    """id, class key, hash of the text, size and bitmap of every text with a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,10 +193,10 @@ def _signatures(texts: DataFrame, n: int) -> DataFrame:
                 key, size = class_keys(grams, text, len(some))
                 bits = bitmaps(grams, text, len(some))
                 full = np.flatnonzero(size)
-                columns = [part.column("id").take(pa.array(full)), pa.array(key[full].view(np.int64)), pa.array(size[full].astype(np.int32)), pa.array([b.tobytes() for b in bits[full]], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "cls", "size", "bits"])
+                columns = [part.column(c).take(pa.array(full)) for c in ("id", "mark")] + [pa.array(key[full].view(np.int64)), pa.array(size[full].astype(np.int32)), pa.array([b.tobytes() for b in bits[full]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "cls", "size", "bits"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, cls long, size int, bits binary")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, mark long, cls long, size int, bits binary")
 
 
 def _prefix_rows(texts: DataFrame, n: int, t: float, table) -> DataFrame:  # noqa: ANN001
@@ -199,8 +204,8 @@ def _prefix_rows(texts: DataFrame, n: int, t: float, table) -> DataFrame:  # noq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
-        # What other shingles add to a slot on average is no sign of a hot key.
-        noise = int(np.bincount(counts, minlength=256) @ COUNT_OF / len(counts))
+        # What nearly every slot holds is no sign of a hot key. More is not taken off, so no hot key is missed, however full the table is.
+        noise = int(COUNT_OF[np.searchsorted(np.cumsum(np.bincount(counts, minlength=256)), len(counts) // 100, side="right")])
         shift = np.uint64(64 - (len(counts).bit_length() - 1))
         seen: set[int] = set()
         for batch in batches:
@@ -228,7 +233,7 @@ def _prefix_rows(texts: DataFrame, n: int, t: float, table) -> DataFrame:  # noq
                 low, high = np.minimum(own, cell), np.maximum(own, cell)
                 g = np.where(blocks > 1, mix(g + (low * blocks + high + 1).astype(np.uint64)), g)
                 side = np.where(low == high, 0, np.where(own == low, 1, 2))
-                wide = c > BITMAP_KEY
+                wide = c > FAN
                 packed = (size[x] << 34) | ((size[x] - place) << 3) | side
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g.view(np.int64)), pa.array(key[x].view(np.int64)), pa.array(packed), pa.array([bits[i].tobytes() if w else None for i, w in zip(x.tolist(), wide.tolist())], pa.binary())],
@@ -285,13 +290,15 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float
     spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     table = spark.sparkContext.broadcast(frequency_table(texts.select("text"), shingle, table_bits(df.count())))
+    texts = texts.withColumn("mark", F.xxhash64("text"))
     signatures = cut_lineage(_signatures(texts, shingle).dropDuplicates(["id", "cls"]))
     members = signatures.select("id", "cls")
-    classes = signatures.groupBy("cls").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    # The text of a class is that of its least id; an id may have been delivered with other texts too, so the text's hash says which.
+    classes = cut_lineage(signatures.groupBy("cls").agg(F.min(F.struct("id", "mark")).alias("of"), F.first("size").alias("size"), F.first("bits").alias("bits")).select("cls", "of.id", "of.mark", "size", "bits"))
 
     candidates = _tree_pairs(_prefix_rows(texts, shingle, threshold, table), threshold).repartition("cls_a").dropDuplicates(["cls_a", "cls_b"])
-    side = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("id").alias(f"id_{s}"), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}"))
-    joined = candidates.join(side("a").drop("id_a"), "cls_a").join(side("b").drop("id_b"), "cls_b")
+    side = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}"))
+    joined = candidates.join(side("a"), "cls_a").join(side("b"), "cls_b")
 
     def overlap_possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,34 +309,27 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, threshold: float
 
     likely = cut_lineage(joined.select("cls_a", "cls_b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(overlap_possible, "cls_a long, cls_b long"))
 
-    needed = likely.select(F.col("cls_a").alias("cls")).union(likely.select("cls_b")).distinct().join(classes.select("cls", "id"), "cls")
-    held = texts.join(needed, "id").groupBy("cls").agg(F.collect_set("text").alias("texts"))
+    # Only the texts of classes in a likely pair are moved, once for each pair; the table of those classes is written, so it is broadcast only by its size.
+    needed = cut_lineage(likely.select(F.col("cls_a").alias("cls")).union(likely.select("cls_b")).distinct().join(classes.select("cls", "id", "mark"), "cls"))
+    held = cut_lineage(texts.join(needed, ["id", "mark"]).select("cls", "text").dropDuplicates(["cls"]))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(keys: list[int], lists: list[list[str]]) -> list[np.ndarray]:
-            flat = [t for texts in lists for t in texts]
-            grams, text = shingle_sets(flat, shingle)
-            key, _ = class_keys(grams, text, len(flat))
-            bounds = np.searchsorted(text, np.arange(len(flat) + 1))
-            out, i = [], 0
-            for k, texts in zip(keys, lists):  # a chunk id may have been delivered with other texts too
-                own = next(j for j in range(i, i + len(texts)) if key[j].view(np.int64) == k)
-                out.append(grams[bounds[own] : bounds[own + 1]])
-                i += len(texts)
-            return out
+        def sets(texts: list[str]) -> list[np.ndarray]:
+            grams, text = shingle_sets(texts, shingle)
+            bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+            return [grams[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                a, b = part.column("cls_a").to_pylist(), part.column("cls_b").to_pylist()
-                x, y = sets(a, part.column("texts_a").to_pylist()), sets(b, part.column("texts_b").to_pylist())
+                x, y = sets(part.column("text_a").to_pylist()), sets(part.column("text_b").to_pylist())
                 both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)], dtype=np.float64)
                 either = np.array([len(p) + len(q) for p, q in zip(x, y)], dtype=np.float64) - both
                 ok = pa.array(both >= threshold * either - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column("cls_a").filter(ok), part.column("cls_b").filter(ok), pa.array(both / either).filter(ok)], names=["cls_a", "cls_b", "similarity"])
 
-    text_of = lambda s: held.select(F.col("cls").alias(f"cls_{s}"), F.col("texts").alias(f"texts_{s}"))
-    links = likely.join(text_of("a"), "cls_a").join(text_of("b"), "cls_b").select("cls_a", "cls_b", "texts_a", "texts_b").mapInArrow(verified, "cls_a long, cls_b long, similarity double")
+    text_of = lambda s: held.select(F.col("cls").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}"))
+    links = likely.join(text_of("a"), "cls_a").join(text_of("b"), "cls_b").select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(verified, "cls_a long, cls_b long, similarity double")
     return members, links
 
 
@@ -345,7 +345,7 @@ def similar_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text
     links = cut_lineage(links)
     a, b = (members.select(F.col("id").alias(f"id_{s}"), F.col("cls").alias(f"cls_{s}")) for s in "ab")
     across = links.join(a, "cls_a").join(b, "cls_b").select("id_a", "id_b", "similarity")
-    within = a.join(b, F.col("cls_a") == F.col("cls_b")).select("id_a", "id_b", F.lit(1.0).alias("similarity")).filter("id_a < id_b")
+    within = pairs_within(members, "cls", "id").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
     both = across.unionByName(within).filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity")
     return both.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
