@@ -1,4 +1,9 @@
-from lorequarry.llm.scans import deletes, misread_cost, page_damage, page_lines, repaired_pages, title_key
+import random
+
+import numpy as np
+import xxhash
+from lorequarry.llm.scans import CONFUSIONS, deletes, filter_bits, membership, misread_cost, is_marked, numeric_pair_hash, pair_hash, page_damage, page_lines, repaired_pages, skeleton, title_key, words_and_breaks
+from pyspark.sql import functions as F
 
 SOUND = "The garden gate was painted under the harvest moon by Anna Roe. The moss-grown wall stood near the garden. "
 
@@ -33,5 +38,44 @@ def test_helpers():
     assert misread_cost("tl1e", "the") < 1 and misread_cost("vvas", "was") < 1 and misread_cost("hat", "cat") > 1.3
     assert title_key("THE S|LENT REGI5TER") == title_key("The Silent Register") != ""
     assert title_key("The sentence ends here.") == ""
-    assert set(deletes("abc")) == {"abc", "ab", "ac", "bc", "a", "b", "c"}
+    assert set(deletes("agz")) == {"agz", "ag", "az", "gz"}
     assert [n for _, _, n in page_lines("4 |  THE SILENT REGISTER\n\ntext text\n\nxiv")] == [True, False, False, False, True]
+
+
+def test_confusions_share_a_key():
+    rng = random.Random(5)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcdefghilmnoqrstuwz") for _ in range(rng.randint(2, 14)))
+        seen = word
+        for _ in range(rng.randint(1, 3)):
+            meant = rng.choice([*CONFUSIONS])
+            at = rng.choice([i for i in range(len(seen)) if seen.startswith(meant, i)] or [None])
+            if at is not None:
+                seen = seen[:at] + rng.choice(CONFUSIONS[meant]) + seen[at + len(meant) :]
+        assert skeleton(seen) == skeleton(word), (word, seen)
+    assert set(deletes("surnrner")) & set(deletes("summer")) and set(deletes("cornrnunal")) & set(deletes("communal"))
+    assert len(deletes("x" * 50_000)) == 1
+
+
+def test_titles_of_any_length():
+    assert title_key("CHRONICLE", alone=True) == title_key("Chronicle", alone=True) != "" and title_key("Chronicle") == ""
+    assert title_key(" ".join(["The Long Register"] * 9))
+    assert [k != "" for _, k, _ in page_lines("CHRONICLE\nsome text stands here\nOnce\nmore text")] == [True, False, False, False]
+
+
+def test_words_and_cuts():
+    assert words_and_breaks(["The gar-", "den Gate !ngot ends in ag-"]) == (["the", None, "gate", "!ngot", "ends", "in"], [("gar", "den"), ("ag", "")])
+
+
+def test_membership(spark):
+    words = [f"w{i}" for i in range(500)] + ["ünder"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    marks = membership(df.select(F.xxhash64("word").alias("h")), len(words))
+    known = np.array([xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words], dtype=np.uint64)
+    others = np.array([xxhash.xxh64_intdigest(f"x{i}".encode(), seed=42) for i in range(2000)], dtype=np.uint64)
+    assert is_marked(marks, known).all() and is_marked(marks, others).mean() < 0.1
+    assert not is_marked(membership(df.limit(0).select(F.xxhash64("word").alias("h")), 0), known).any()
+    pair = df.select(pair_hash(F.xxhash64("word"), F.xxhash64(F.concat("word", F.lit("!")))).alias("h")).toPandas().h.to_numpy().view(np.uint64)
+    after = np.array([xxhash.xxh64_intdigest((w + "!").encode(), seed=42) for w in words], dtype=np.uint64)
+    assert (pair == numeric_pair_hash(known, after)).all()
+    assert filter_bits(10**12) == 30
