@@ -6,13 +6,15 @@ computes its gradient, the gradients are added, and one update is broadcast. Sin
 model scores a word once and a sentence by adding up its words' scores.
 
 The labelled sample is small and half of its sentences are about nothing in particular, so words that merely happen to stand in
-one sample would be taken for signs of its area. A pass over all documents therefore counts, for every word, how often
-the model finds its sentence, and the sentences beside it, to be about each area. A word keeps the log-odds that
-both agree on; a turn of phrase that stands in texts of all areas keeps none. These statistics are added up in Spark by bucket.
+one sample are taken for signs of its area. The model is therefore trained on by itself: every partition of the documents takes
+gradient steps on its own sentences, whose labels are what the first model is sure of and finds confirmed by sentences close
+by; a sentence that nothing confirms counts as about nothing. The steps of all partitions are added up by row of the model,
+each by how often it was made, and one update is broadcast; that is done twice. The logistic outputs of that model alone decide.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -40,12 +42,14 @@ HEADING = re.compile(r"^\s*(?:#+\s|TITLE:|=+\s*$|-{3,}\s*$).*$|^.*\n=+\s*$", re.
 WORD_CACHE = 300_000
 #: Words below which a stretch is no sentence.
 LEAST_WORDS = 3
-#: Buckets of words whose evidence is kept (a bound of what is collected and broadcast); scores between SURE count for no word.
-EVIDENCE_BUCKETS, SURE = 1 << 18, (-1.0, 0.5)
-#: Pseudo-count of the base rate; factor for the log-odds of neighbouring sentences; bounds of a word's evidence.
-PRIOR, NEAR_SCALE, LEAST_EVIDENCE, MOST_EVIDENCE = 8.0, 1.4, 1.9, 6.0
-#: A sentence is about an area if its words' evidence, and this share of the model's logit, come to more than this.
-MODEL_SHARE, CUT = 0.3, 1.8
+#: Logits above and below which the first model is sure that a sentence is, or is not, about an area; sentences this far away confirm it.
+SURE, CONFIRMED_WITHIN = (0.5, -1.0), 3
+#: How often the model is trained on by its own labels, sentences of a step of a partition, and the rate of its steps.
+ROUNDS, STEP_SENTENCES, SELF_RATE = 2, 256, 0.3
+#: Rows of the model that are added up in one place.
+BLOCK_ROWS = 512
+#: A sentence is about an area if its logit is above this: unconfirmed sentences count as about nothing, so outputs are low.
+CUT = -1.5
 
 
 def sentence_starts(text: str) -> list[int]:
@@ -94,7 +98,6 @@ class Model:
         self.embedding = random.normal(0, 0.05, (WORD_BUCKETS + SUBWORD_BUCKETS, DIMENSIONS)).astype(np.float32)
         self.output = random.normal(0, 0.5, (DIMENSIONS, len(areas))).astype(np.float32)
         self.bias = np.full(len(areas), -2.0, dtype=np.float32)
-        self.evidence: dict[int, np.ndarray] = {}
 
     def parameters(self) -> list[np.ndarray]:
         return [self.embedding, self.output, self.bias]
@@ -133,37 +136,31 @@ class Scorer:
     """Sentence scores of texts; keeps the scores of words between slices."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.scores = model, {}, np.zeros((0, 2 * len(model.areas)), dtype=np.float32)
+        self.model, self.known, self.scores = model, {}, np.zeros((0, len(model.areas)), dtype=np.float32)
 
     def word_scores(self, vocabulary: list[str]) -> np.ndarray:
-        """Of each word, its part of the logits, and its evidence."""
+        """Of each word, its part of the logits."""
         if len(self.known) > WORD_CACHE:
             self.known, self.scores = {}, self.scores[:0]
         new = [w for w in vocabulary if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            none = np.zeros(len(self.model.areas), dtype=np.float32)
-            evidence = np.array([self.model.evidence.get(bucket_of(w), none) for w in new], dtype=np.float32)
-            self.scores = np.concatenate([self.scores, np.concatenate([self.model.word_vectors(new) @ self.model.output, evidence], axis=1)])
+            self.scores = np.concatenate([self.scores, self.model.word_vectors(new) @ self.model.output])
         return self.scores[[self.known[w] for w in vocabulary]]
 
-    def score(self, words: SentenceWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits and evidence of every sentence, and its number of words."""
-        n = len(self.model.areas)
-        total = np.zeros((words.sentences, 2 * n), dtype=np.float32)
+    def score(self, words: SentenceWords) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of every stretch between sentence ends, and whether it is a sentence at all."""
+        total = np.zeros((words.sentences, len(self.model.areas)), dtype=np.float32)
         count = np.bincount(words.sentence, minlength=words.sentences)
         if len(words.index):
             first = np.flatnonzero(np.concatenate([[True], words.sentence[1:] != words.sentence[:-1]]))
             total[words.sentence[first]] = np.add.reduceat(self.word_scores(words.vocabulary)[words.index], first, axis=0)
-        return total[:, :n] / np.maximum(count, 1)[:, None] + self.model.bias, total[:, n:], count
+        return total / np.maximum(count, 1)[:, None] + self.model.bias, count >= LEAST_WORDS
 
     def about(self, words: SentenceWords) -> tuple[np.ndarray, np.ndarray]:
         """Whether each sentence is about each area, and whether it is a sentence at all."""
-        logits, evidence, count = self.score(words)
-        real = count >= LEAST_WORDS
-        if not self.model.evidence:
-            return (logits > 0) & real[:, None], real
-        return (evidence + MODEL_SHARE * np.clip(logits, -3, 3) > CUT) & real[:, None], real
+        logits, real = self.score(words)
+        return (logits > CUT) & real[:, None], real
 
 
 def _step_gradients(samples: DataFrame, model: Model) -> list[np.ndarray]:
@@ -212,73 +209,115 @@ def train(samples: DataFrame, areas: list[str], text_col: str = "text", area_col
     return model
 
 
-def bucket_of(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode(), seed=1) % EVIDENCE_BUCKETS
+def own_labels(logits: np.ndarray, real: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(targets, which sentences to train on): sure and confirmed ones for their area; sure ones that nothing confirms, and those sure to be about no area, for none."""
+    top = logits.max(axis=1) if logits.size else np.zeros(len(logits))
+    label = np.where(real & (top > SURE[0]), logits.argmax(axis=1) if logits.size else -1, -1)
+    confirmed = np.zeros(len(logits), dtype=bool)
+    for k in range(1, CONFIRMED_WITHIN + 1):
+        same = (text_of[k:] == text_of[:-k]) & (label[k:] == label[:-k]) & (label[k:] >= 0)
+        confirmed[k:] |= same
+        confirmed[:-k] |= same
+    target = np.zeros(logits.shape, dtype=np.float32)
+    target[np.flatnonzero(confirmed), label[confirmed]] = 1
+    return target, real & ((label >= 0) | (top < SURE[1]))
 
 
-def learn_evidence(texts: DataFrame, model: Model) -> None:
-    """Set the evidence of each word bucket from all ``texts``; one pass, counts added up by bucket."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    n = len(model.areas)
-    names = ["n_own", "n_near", *(f"own_{a}" for a in range(n)), *(f"near_{a}" for a in range(n))]
+class LocalSteps:
+    """Gradient steps of one partition on its copy of the model; ``steps`` counts those of each row of the embeddings."""
+
+    def __init__(self, model: Model):
+        self.model = copy.deepcopy(model)
+        self.steps = np.zeros(len(model.embedding))
+        self.squares = [np.full(n, 1e-6, dtype=np.float32) for n in (len(model.embedding), model.output.shape, model.bias.shape)]
+        self.known: dict[str, tuple[int, list[int]]] = {}
+
+    def rows_of(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each word, rows of its n-grams one word after another, and how many it has."""
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        found = [self.known[w] if w in self.known else self.known.setdefault(w, features(w)) for w in vocabulary]
+        size = np.array([len(g) for _, g in found], dtype=np.int64)
+        return np.array([o for o, _ in found], dtype=np.int64), np.array([x for _, g in found for x in g], dtype=np.int64), size
+
+    def train(self, words: SentenceWords, target: np.ndarray, use: np.ndarray) -> None:
+        own, grams, size = self.rows_of(words.vocabulary)
+        begin = np.cumsum(size) - size
+        first = np.searchsorted(words.sentence, np.arange(words.sentences + 1))
+        order = np.random.default_rng(len(words.index)).permutation(np.flatnonzero(use))
+        for lo in range(0, len(order), STEP_SENTENCES):
+            chosen = np.sort(order[lo : lo + STEP_SENTENCES])
+            self.step(words.index, first[chosen], first[chosen + 1] - first[chosen], target[chosen], own, grams, begin, size)
+
+    def step(self, index: np.ndarray, first: np.ndarray, length: np.ndarray, target: np.ndarray, own: np.ndarray, grams: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """One step on sentences whose words stand at ``first`` in ``index``; rows that are not touched stay as they are."""
+        e, o, b = self.model.parameters()
+        runs = lambda start, n: np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        used, word = np.unique(index[runs(first, length)], return_inverse=True)
+        n, rows = size[used], grams[runs(begin[used], size[used])]
+        some = n > 0
+        vector = e[own[used]]
+        vector[some] += np.add.reduceat(e[rows], (np.cumsum(n) - n)[some], axis=0) / n[some][:, None] if some.any() else 0
+        mean = np.add.reduceat(vector[word], np.cumsum(length) - length, axis=0) / length[:, None].astype(np.float32)
+        error = ((1 / (1 + np.exp(-(mean @ o + b))) - target) / len(target)).astype(np.float32)
+        back = np.repeat((error @ o.T) / length[:, None].astype(np.float32), length, axis=0)
+        _, per_word = _sums(word, back, np.arange(len(word)))
+        parts = np.concatenate([per_word, per_word / np.maximum(n, 1)[:, None].astype(np.float32)])
+        touched, gradient = _sums(np.concatenate([own[used], rows]), parts, np.concatenate([np.arange(len(used)), len(used) + np.repeat(np.arange(len(used)), n)]))
+        square = self.squares
+        square[0][touched] += (gradient**2).mean(axis=1)
+        e[touched] -= SELF_RATE * gradient / np.sqrt(square[0][touched])[:, None]
+        self.steps[touched] += 1
+        for p, g, q in ((o, mean.T @ error, square[1]), (b, error.sum(axis=0), square[2])):
+            q += g**2
+            p -= 0.3 * SELF_RATE * g / np.sqrt(q)
+
+
+def _sums(key: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sums of ``values[at]`` of each."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    return key[order][first], np.add.reduceat(values[at[order]], first, axis=0)
+
+
+def self_train(texts: DataFrame, model: Model) -> Model:
+    """``model`` trained on by all ``texts``, each partition by its own steps; they are added up by block of rows, in Spark."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        total: dict[str, int] = {}
-        counts = np.zeros((1024, 2 + 2 * n))
+        first, local = shared.value, LocalSteps(shared.value)
+        scorer, used = Scorer(first), 0
         for batch in batches:
             for _, some in slices(batch, "text"):
                 words = SentenceWords(some)
-                logits, _, size = scorer.score(words)
-                top = logits.max(axis=1)
-                sure = ((top > SURE[1]) | (top < SURE[0])) & (size >= LEAST_WORDS)
-                label = ((logits == top[:, None]) & (top > SURE[1])[:, None] & sure[:, None]).astype(np.float64)
-                here = np.concatenate([sure[:, None], label], axis=1)
-                beside = np.zeros_like(here)
-                same = words.text_of[1:] == words.text_of[:-1]
-                beside[1:][same] += here[:-1][same]
-                beside[:-1][same] += here[1:][same]
-                pair = np.unique(words.sentence.astype(np.int64) * len(words.vocabulary) + words.index)
-                sentence, word = pair // max(1, len(words.vocabulary)), pair % max(1, len(words.vocabulary))
-                sentence, word = sentence[np.argsort(word, kind="stable")], np.sort(word)
-                if not len(word):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                own, near = np.add.reduceat(here[sentence], first, axis=0), np.add.reduceat(beside[sentence], first, axis=0)
-                slot = np.array([total.setdefault(w, len(total)) for w in words.vocabulary])
-                if len(total) > len(counts):
-                    counts = np.concatenate([counts, np.zeros((len(total), counts.shape[1]))])
-                counts[slot[word[first]]] += np.concatenate([own[:, :1], near[:, :1], own[:, 1:], near[:, 1:]], axis=1)
-                if len(total) > WORD_CACHE:
-                    yield emitted(total, counts)
-                    total, counts = {}, np.zeros((1024, counts.shape[1]))
-        yield emitted(total, counts)
-
-    def emitted(total: dict[str, int], counts: np.ndarray) -> pa.RecordBatch:
-        columns = counts[: len(total)].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([bucket_of(w) for w in total], pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in columns.T)], names=["bucket", *names])
-
-    rows = texts.mapInArrow(run, "bucket int, " + ", ".join(f"{c} int" for c in names))
-    sums = rows.groupBy("bucket").agg(*(F.sum(c).cast("double").alias(c) for c in names)).persist()
-    frame = sums.filter(F.greatest(*(F.col(f"own_{a}") for a in range(n)), F.lit(0.0)) >= 0.1 * F.col("n_own")).toPandas()
-    all_sums = sums.agg(*(F.sum(c).alias(c) for c in names)).toPandas()
-    sums.unpersist()
-    if not len(frame) or not all_sums.n_own[0]:
-        return
-
-    def odds(kind: str) -> np.ndarray:
-        columns = [f"{kind}_{a}" for a in range(n)]
-        base = np.clip(all_sums[columns].to_numpy()[0] / max(all_sums[f"n_{kind}"][0], 1), 1e-4, 0.5)
-        share = (frame[columns].to_numpy() + PRIOR * base) / (frame[f"n_{kind}"].to_numpy() + PRIOR)[:, None]
-        share = np.clip(share, 1e-4, 1 - 1e-4)
-        return np.log(share / (1 - share)) - np.log(base / (1 - base))
-
-    own, near = odds("own"), odds("near")
-    # The sentence beside a word of an area is about that area less often than its own sentence.
-    evidence = np.minimum(own, near * NEAR_SCALE)
-    evidence[evidence < LEAST_EVIDENCE] = 0
-    model.evidence = {int(b): e for b, e in zip(frame.bucket, np.minimum(evidence, MOST_EVIDENCE).astype(np.float32)) if e.any()}
+                target, use = own_labels(*scorer.score(words), words.text_of)
+                local.train(words, target, use)
+                used += int(use.sum())
+        if not used:
+            return
+        moved = np.concatenate([(local.model.embedding - first.embedding) * local.steps[:, None], local.steps[:, None]], axis=1).astype(np.float32)
+        rest = np.concatenate([((p - q) * used).ravel() for p, q in zip(local.model.parameters()[1:], first.parameters()[1:])] + [[used]]).astype(np.float32)
+        blocks = [moved[i : i + BLOCK_ROWS].tobytes() for i in range(0, len(moved), BLOCK_ROWS)] + [rest.tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
+                total[block] = total.get(block, 0) + np.frombuffer(sums, dtype=np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "sums"])
+
+    kind = "block int, sums binary"
+    sums = {r.block: np.frombuffer(r.sums) for r in texts.mapInArrow(run, kind).repartition("block").mapInArrow(add, kind).toLocalIterator()}
+    if not sums:
+        return model
+    out, last = copy.deepcopy(model), max(sums)
+    moved = np.concatenate([sums[i] for i in range(last)]).reshape(len(out.embedding), DIMENSIONS + 1)
+    out.embedding += (moved[:, :-1] / np.maximum(moved[:, -1:], 1)).astype(np.float32)
+    rest = (sums[last][:-1] / sums[last][-1]).astype(np.float32)
+    out.output += rest[: out.output.size].reshape(out.output.shape)
+    out.bias += rest[out.output.size :]
+    return out
 
 
 def document_areas(docs: DataFrame, samples: DataFrame, areas: DataFrame, id_col: str = "doc_id", text_col: str = "text", area_col: str = "area", share: float = 1 / 6) -> DataFrame:
@@ -286,17 +325,19 @@ def document_areas(docs: DataFrame, samples: DataFrame, areas: DataFrame, id_col
 
     Sentences are stretches of at least LEAST_WORDS words between sentence ends; headings are none. Null, empty and blank texts
     have no row; repeated rows give repeated results once; other columns are ignored; without labelled samples or areas there is no row.
-    Only the model is broadcast (fixed size: 1.6 MB, and at most EVIDENCE_BUCKETS rows of evidence); documents are read twice, in maps; word counts by bucket and found rows are shuffled.
+    Only the model is broadcast, and collected in blocks of rows (fixed size: 1.6 MB); documents are read in ROUNDS + 1 maps; the model's
+    blocks of each task and the found rows are shuffled. The outputs of a partition's steps depend on how documents are partitioned.
     """
     spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
-    names = sorted(r[0] for r in areas.select(area_col).filter(F.col(area_col).isNotNull()).distinct().limit(10_000).collect())
+    names = sorted(r[0] for r in areas.select(area_col).filter(F.col(area_col).isNotNull()).distinct().collect())
     schema = f"id {id_kind}, area string, share double"
     if not names or samples.filter(F.col(area_col).isin(names)).isEmpty():
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     model = train(samples, names)
-    learn_evidence(source.select("text"), model)
+    for _ in range(ROUNDS):
+        model = self_train(source.select("text"), model)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

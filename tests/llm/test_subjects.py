@@ -1,5 +1,5 @@
 import numpy as np
-from lorequarry.llm.subjects import Model, SentenceWords, document_areas, sentence_starts, train
+from lorequarry.llm.subjects import LocalSteps, Model, SentenceWords, document_areas, own_labels, sentence_starts, train
 
 AREAS = {"sea": "ship sail harbour anchor mast tide rudder keel".split(), "law": "court judge oath verdict witness clerk petition statute".split(), "food": "oven bread butter stew onion spice broth kettle".split()}
 PLAIN = "stone river candle winter shadow garden letter window bridge traveller".split()
@@ -74,3 +74,43 @@ def test_gradient_by_differences():
 def test_sentences():
     text = 'He saw Dr. Roe there. "Was it tilled?" asked Anna. Then Capt. Holt left'
     assert [text[s : s + 4] for s in sentence_starts(text)] == ["He s", '"Was', "Then"]
+
+
+def test_only_the_outputs_decide(spark, monkeypatch):
+    from lorequarry.llm import subjects
+
+    samples, docs, _ = data(spark, np.random.default_rng(2))
+    d, s = spark.createDataFrame(docs[:60], "doc_id long, text string, area string"), spark.createDataFrame(samples, "sample_id int, text string, area string")
+    a = spark.createDataFrame([(x,) for x in AREAS], "area string")
+    whole = subjects.self_train
+
+    def silent(texts, model):
+        model = whole(texts, model)
+        model.output[:] = 0
+        return model
+
+    assert document_areas(d, s, a).count() > 0
+    monkeypatch.setattr(subjects, "self_train", silent)
+    assert document_areas(d, s, a).count() == 0
+
+
+def test_own_labels():
+    logits = np.array([[2, -3], [-3, -3], [1, -3], [0, -3], [-3, 2], [2, -3]], dtype=np.float32)
+    target, use = own_labels(logits, np.array([True] * 6), np.array([0, 0, 0, 0, 0, 1]))
+    assert target[:, 0].tolist() == [1, 0, 1, 0, 0, 0] and target[:, 1].sum() == 0 and use.tolist() == [True, True, True, False, True, True]
+
+
+def test_local_step_goes_down():
+    model = Model(["a", "b"])
+    local = LocalSteps(model)
+    words = SentenceWords(["one two three four. Five six seven eight."])
+    target = np.array([[1, 0], [0, 1]], dtype=np.float32)[: words.sentences]
+
+    def loss(m):
+        v = m.word_vectors(words.vocabulary)
+        z = np.stack([v[words.index[words.sentence == s]].mean(axis=0) for s in range(words.sentences)]) @ m.output + m.bias
+        return float(np.sum(np.log1p(np.exp(z)) - target * z))
+
+    for _ in range(20):
+        local.train(words, target, np.array([True] * words.sentences))
+    assert loss(local.model) < 0.5 * loss(model) and (local.steps > 0).sum() > 8
