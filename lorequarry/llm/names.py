@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorequarry.llm.grouping import pairs_within
 from lorequarry.session import cut_lineage, partitions
 
 #: Titles before or after a person's name, with their short forms.
@@ -50,7 +51,8 @@ FIXED = {*TITLES, *BODY_WORDS, *PLACE_WORDS, *GENERATIONS, *GIVEN, *NICKNAMES}
 DIGITS = str.maketrans("01358@$", "oiebsas".replace("i", "l"))
 #: A token may be a misspelling of one in at least TIMES as many names, or OFTEN as many if it stands in more than RARE names.
 RARE, TIMES, OFTEN = 3, 2.5, 15
-SEGMENTS = 3
+#: A token is a title if it stands before at least so many different names that also stand without it, and before others no more often.
+TITLED_NAMES = 5
 
 
 def tokens_of(name: str) -> list[str]:
@@ -86,45 +88,68 @@ class Trie:
         node[""] = word
 
     def near(self, word: str, k: int) -> list[tuple[str, int]]:
-        """(neighbour, distance) within k edits. A state of the automaton is the row of distances to all prefixes of ``word``."""
-        n, out = len(word), []
-        stack = [(self.root, "", list(range(n + 1)), None)]
+        """(neighbour, distance) within k edits. A state of the automaton is the row of distances to the prefixes of ``word`` that are
+        at most k longer or shorter than the path: others are out of reach, however long the word is."""
+        n, out, far = len(word), [], k + 1
+        band = range(2 * k + 1)
+        stack = [(self.root, 0, "", [j - k if 0 <= j - k <= n else far for j in band], None)]
         while stack:
-            node, last, row, before = stack.pop()
-            if "" in node and row[n] <= k:
-                out.append((node[""], row[n]))
+            node, depth, last, row, before = stack.pop()
+            if "" in node and 0 <= n - depth + k <= 2 * k and row[n - depth + k] <= k:
+                out.append((node[""], row[n - depth + k]))
             for c, child in node.items():
                 if not c:
                     continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    d = min(new[-1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c))
-                    if before is not None and j > 1 and c == word[j - 2] and last == word[j - 1]:
-                        d = min(d, before[j - 2] + 1)
+                new = []
+                for t in band:
+                    j = depth + 1 - k + t
+                    if j < 0 or j > n:
+                        new.append(far)
+                        continue
+                    d = row[t + 1] + 1 if t < 2 * k else far
+                    if j:
+                        d = min(d, row[t] + (word[j - 1] != c), new[t - 1] + 1 if t else far)
+                        if before is not None and j > 1 and c == word[j - 2] and last == word[j - 1]:
+                            d = min(d, before[t] + 1)
                     new.append(d)
                 if min(new) <= k or min(row) <= k - 1:
-                    stack.append((child, c, new, row))
+                    stack.append((child, depth + 1, c, new, row))
         return out
 
 
 def _parts(length: int) -> list[tuple[int, int]]:
-    base = length // SEGMENTS
-    sizes = [base + (i >= SEGMENTS - length % SEGMENTS) for i in range(SEGMENTS)]
-    return [(sum(sizes[:i]), sizes[i]) for i in range(SEGMENTS)]
+    """(begin, size) of the segments of a word: one more than the edits allowed for its length."""
+    n = allowed(length) + 1
+    sizes = [length // n + (i >= n - length % n) for i in range(n)]
+    return [(sum(sizes[:i]), sizes[i]) for i in range(n)]
 
 
 def index_shards(word: str) -> list[str]:
-    """The shards that hold a word: its length, and each of its segments."""
-    return [f"{len(word)}/{i}/{word[p : p + n]}" for i, (p, n) in enumerate(_parts(len(word)))]
+    """The shards that hold a word: its length, and each of its segments.
+
+    An edit breaks one segment, but letters that change places over a border break two. So a segment also stands for itself with
+    its first, its last or both letters taken from beyond the border: then one segment is always left whole.
+    """
+    parts, out = _parts(len(word)), set()
+    for i, (p, n) in enumerate(parts):
+        firsts = [word[p], word[p - 1]] if i else [word[p]]
+        lasts = [word[p + n - 1], word[p + n]] if i + 1 < len(parts) else [word[p + n - 1]]
+        for a in firsts:
+            for z in lasts:
+                if n > 1:
+                    out.add(f"{len(word)}/{i}/{a}{word[p + 1 : p + n - 1]}{z}")
+                else:
+                    out |= {f"{len(word)}/{i}/{a}", f"{len(word)}/{i}/{z}"}
+    return sorted(out)
 
 
 def query_shards(word: str) -> list[str]:
-    """The shards in which words within two edits of ``word`` can stand: one segment is left whole, shifted a little."""
+    """The shards in which words within the allowed edits of ``word`` can stand: one segment is left whole, shifted by no more than the edits."""
     out = set()
     for length in range(max(4, len(word) - 2), len(word) + 3):
-        shift = len(word) - length
-        for i, (p, n) in enumerate(_parts(length)):
-            for at in range(p - (2 - shift) // 2, p + (2 + shift) // 2 + 1):
+        shift, most = len(word) - length, allowed(length)
+        for i, (p, n) in enumerate(_parts(length) if abs(shift) <= most else ()):
+            for at in range(p - (most - shift) // 2, p + (most + shift) // 2 + 1):
                 if at >= 0 and at + n <= len(word):
                     out.add(f"{length}/{i}/{word[at : at + n]}")
     return sorted(out)
@@ -168,8 +193,10 @@ def body_word(token: str, first: bool) -> str:
     return near[0] if near and len({BODY_WORDS[w] for w in near}) == 1 else token
 
 
-def parsed(tokens: list[str], given: list[bool]) -> tuple[str, str, str, str]:
-    """(kind, family or body name, given name as written, generation) of matched tokens; kind '' for places, amounts and others."""
+def parsed(tokens: list[str], given: list[bool], titles: frozenset[str] = frozenset()) -> tuple[str, str, str, str]:
+    """(kind, family or body name, given name as written, generation) of matched tokens; kind '' for places, amounts and others.
+
+    A person's name of other than two tokens, besides ``titles`` and those of the fixed list, is of kind 'name' and goes by its sorted tokens."""
     none = ("", "", "", "")
     while len(tokens) > 2 and tokens[0] == "the":
         tokens, given = tokens[1:], given[1:]
@@ -185,14 +212,18 @@ def parsed(tokens: list[str], given: list[bool]) -> tuple[str, str, str, str]:
     if kinds & BODY_KINDS and len(core) == 1 and len(kinds) <= 3:
         kinds -= {"sons", "saint", "lantern", "weavers"} if kinds & (BODY_KINDS - {"company", "mining"}) else set()
         return "body " + " ".join(sorted(kinds - ({"company"} if kinds & {"mining", "free"} else set()))), core[0][0], "", ""
-    if tokens[0] in PLACE_WORDS or tokens[-1] in PLACE_WORDS:
+    if (tokens[0] in PLACE_WORDS or tokens[-1] in PLACE_WORDS) and not (len(tokens) == 2 and tokens[0] in GIVEN):
         return none
+    if len(core) == 2 and len(tokens) == 3 and tokens[1] == "of":
+        return "body " + tokens[0], tokens[2], "", ""
     generation = next((GENERATIONS[t] for t, _ in core if t in GENERATIONS), "")
     person = [(t, g) for t, g in core if t not in GENERATIONS]
     if len(person) > 2:
-        person = [(t, g) for t, g in person if t not in TITLES]
-    if len(person) != 2 or kinds:
+        person = [(t, g) for t, g in person if t not in TITLES and t not in titles]
+    if kinds or len(person) < 2:
         return none
+    if len(person) > 2:  # another shape: the same tokens in any order are one entity
+        return "name", " ".join(sorted(t for t, _ in person)), "", generation
     (a, given_a), (b, given_b) = person
     if not given_a and (given_b or len(b) <= 3 < len(a)):
         a, b = b, a
@@ -211,7 +242,7 @@ def spellings(df: DataFrame, name_cols: tuple[str, ...] = ("subject", "object"))
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens = [tokens_of(n) for n in batch.name]
-            keep = [1 < len(t) < 12 and t[0] not in NUMBERS for t in tokens]
+            keep = [1 < len(t) and t[0] not in NUMBERS for t in tokens]
             yield pd.DataFrame({"name": batch.name[keep], "tokens": [t for t, k in zip(tokens, keep) if k]})
 
     cut_names = cut_lineage(names.mapInPandas(cut, "name string, tokens array<string>"))
@@ -236,21 +267,29 @@ def spellings(df: DataFrame, name_cols: tuple[str, ...] = ("subject", "object"))
         .agg(F.min(F.struct("distance", -F.col("word_names"), "word")).alias("m"))
         .select(F.col("query").alias("token"), F.col("m.word").alias("matched"))
     )
-    known = stats.join(best, "token", "left").withColumn("matched", F.coalesce("matched", "token"))
+    known = cut_lineage(stats.join(best, "token", "left").withColumn("matched", F.coalesce("matched", "token")))
     roles = known.groupBy("matched").agg(F.sum("first").alias("first"), F.sum(F.col("names") % 1000).alias("names"))
     is_given = F.col("matched").isin(*GIVEN, *NICKNAMES) | ((F.col("first") >= 20) & (F.col("first") >= 0.5 * F.col("names")))
     matches = known.select("token", "matched").join(roles.select("matched", is_given.alias("given")), "matched")
-    joined = token.select("name", "place", "token").join(matches, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "matched", "given", "token"))).alias("t"))
+    # Titles of the corpus: tokens before names that also stand without them.
+    read = token.select("name", "place", "token").join(matches, "token")
+    full = cut_lineage(read.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "matched"))), lambda x: x["matched"]).alias("m")).filter(F.size("m") <= 3).select("m").distinct())
+    three = full.filter(F.size("m") == 3).select(F.col("m")[0].alias("title"), F.array_sort(F.slice("m", 2, 2)).alias("rest")).distinct()
+    two = full.filter(F.size("m") == 2).select(F.array_sort("m").alias("rest"), F.lit(1).alias("alone")).distinct()
+    before = three.join(two, "rest", "left").groupBy("title").agg(F.count("*").alias("n"), F.count("alone").alias("alone"))
+    learned = before.filter((F.col("alone") >= TITLED_NAMES) & (2 * F.col("alone") >= F.col("n")) & ~F.col("title").isin(*sorted(FIXED))).select(F.col("title").alias("matched"), F.lit(True).alias("title"))
+    matches = matches.join(learned, "matched", "left").withColumn("title", F.coalesce("title", F.lit(False)))
+    joined = token.select("name", "place", "token").join(matches, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "matched", "given", "token", "title"))).alias("t"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [parsed(list(m), list(g)) for m, g in zip(batch.matched, batch.given)]
+            out = [parsed(list(m), list(g), frozenset(x for x, y in zip(m, t) if y)) for m, g, t in zip(batch.matched, batch.given, batch.title)]
             yield pd.DataFrame({"name": batch.name, **{c: [o[i] for o in out] for i, c in enumerate(("kind", "family", "written", "generation"))}})
 
-    people = joined.select("name", F.col("t.matched").alias("matched"), F.col("t.given").alias("given")).mapInPandas(parse, "name string, kind string, family string, written string, generation string")
+    people = joined.select("name", F.col("t.matched").alias("matched"), F.col("t.given").alias("given"), F.col("t.title").alias("title")).mapInPandas(parse, "name string, kind string, family string, written string, generation string")
     people = cut_lineage(people.filter("kind <> ''"))
 
-    bodies = people.filter("kind <> 'person'").select("name", F.concat_ws("|", "kind", "family").alias("entity"))
+    bodies = people.filter("kind <> 'person'").select("name", F.concat_ws("|", "kind", "family", "generation").alias("entity"))
     persons = people.filter("kind = 'person'")
     nick = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
     short = persons.select("family", "generation", "written").distinct()
@@ -272,5 +311,4 @@ def spellings(df: DataFrame, name_cols: tuple[str, ...] = ("subject", "object"))
 def spelling_pairs(df: DataFrame, name_cols: tuple[str, ...] = ("subject", "object")) -> DataFrame:
     """``name_a`` < ``name_b``: two different spellings of one entity; every pair of an entity's spellings."""
     found = cut_lineage(spellings(df, name_cols))
-    a, b = found.select("entity", F.col("name").alias("name_a")), found.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b")
+    return pairs_within(found, "entity", "name")

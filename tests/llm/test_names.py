@@ -1,6 +1,6 @@
 import random
 
-from lorequarry.llm.names import Trie, index_shards, parsed, query_shards, spelling_pairs, tokens_of
+from lorequarry.llm.names import Trie, allowed, index_shards, parsed, query_shards, spelling_pairs, tokens_of
 
 
 def osa(a, b):
@@ -22,7 +22,23 @@ def test_trie_and_shards_enumerate_all_neighbours():
     for q in ["".join(rng.choice("abc") for _ in range(rng.randint(4, 9))) for _ in range(60)]:
         want = {(w, osa(q, w)) for w in words if osa(q, w) <= 2}
         assert set(trie.near(q, 2)) == want
-        assert all(set(index_shards(w)) & set(query_shards(q)) for w, d in want if d <= 1)
+        assert all(set(index_shards(w)) & set(query_shards(q)) for w, d in want if d <= min(allowed(len(w)), allowed(len(q) + 1)))
+
+
+def test_shards_hold_two_edits_with_transpositions():
+    rng = random.Random(9)
+    for _ in range(4000):
+        word = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 14)))
+        seen = list(word)
+        for _ in range(rng.randint(1, allowed(len(word)))):
+            at, kind = rng.randrange(len(seen) - 1), rng.randrange(5)
+            if kind < 2:
+                seen[at], seen[at + 1] = seen[at + 1], seen[at]
+            else:
+                seen[at : at + (kind > 2)] = [] if kind == 4 else [rng.choice("abcxyz")]
+        seen = "".join(seen)
+        if osa(seen, word) <= min(allowed(len(word)), allowed(len(seen) + 1)):
+            assert set(index_shards(word)) & set(query_shards(seen)), (word, seen)
 
 
 def test_tokens():
@@ -34,6 +50,9 @@ def test_parts():
     assert parsed(["kenneth", "roe", "elder"], [True, False, False]) == ("person", "roe", "kenneth", "elder")
     assert parsed(["voltmere", "k"], [False, False]) == ("person", "voltmere", "k", "")
     assert parsed(["bdh", "of", "voltmere"], [False] * 3) == parsed(["voltmere", "brotherhood"], [False] * 2) == ("body brotherhood", "voltmere", "", "")
+    assert parsed(["edward", "ford"], [True, False])[0] == "person" and parsed(["temple", "of", "voltmere"], [False] * 3)[:2] == ("body temple", "voltmere")
+    assert parsed(["edward", "james", "voltmere"], [True, True, False]) == parsed(["voltmere", "edward", "james"], [False, True, True]) != ("", "", "", "")
+    assert parsed(["quaestor", "edward", "voltmere"], [False, True, False], frozenset(["quaestor"]))[:3] == ("person", "voltmere", "edward")
     assert parsed(["voltmere", "ford"], [False] * 2)[0] == parsed(["two", "kenneth", "stones"], [False, True, False])[0] == ""
 
 
@@ -52,3 +71,10 @@ def test_spellings(spark):
 def test_very_long_name(spark):
     df = spark.createDataFrame([("x" * 50_000 + " y" * 50, "Anna Roe")], "subject string, object string")
     assert spelling_pairs(df).collect() == []
+
+
+def test_titles_are_learned_and_long_names_kept(spark):
+    families = ["Brambleholt", "Craysthorne", "Dunwickery", "Elmsgrave", "Farrowdene", "Gorsebeck"]
+    rows = [(f"Quaestor Edward {f}", f"Edward {f}") for f in families] + [("The Ancient Guild of the Nine Silver Lamps of Old Harrow Vale and Sons", "THE ANCIENT GUILD OF THE NINE SILVER LAMPS OF OLD HARROW VALE AND SONS"), ("Anna Maria Roe", "Roe Anna Maria")]
+    got = {tuple(r) for r in spelling_pairs(spark.createDataFrame(rows, "subject string, object string")).collect()}
+    assert {(f"Edward {f}", f"Quaestor Edward {f}") for f in families} <= got and ("Anna Maria Roe", "Roe Anna Maria") in got
