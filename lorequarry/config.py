@@ -10,12 +10,13 @@ SOURCE_DIRECTORIES = {"chronicles": "chronicle", "wiki": "wiki", "codex": "offic
 #: Authority of a source category when evidence is ranked, and the variant of the source settings (fixed values).
 RANK_AUTHORITY = {"official_codex": 1.00, "chronicle": 0.90, "wiki": 0.80, "ephemera": 0.65, "unknown": 0.50}
 SOURCE_AUTHORITY = {"official_codex": 1.00, "chronicle": 0.85, "wiki": 0.65, "ephemera": 0.50, "unknown": 0.40}
+#: File kinds that are read (fixed values).
 SUPPORTED_EXTENSIONS = (".pdf", ".docx", ".md", ".markdown", ".txt")
 
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Typed settings; ``from_env`` reads QUARRY_<NAME> variables."""
+    """Typed settings, the defaults fixed values; ``from_env`` reads QUARRY_<NAME> variables."""
 
     chunk_size: int = 1200
     chunk_overlap: int = 200

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.functions.text import first_filled, salvage_json
+from lorequarry.session import cut_lineage
 
 
 class LLM(Protocol):
@@ -28,10 +29,12 @@ class EchoLLM:
 
 
 def with_retries(call: Callable[[], str], attempts: int = 5, first_wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str:
-    """Call until it succeeds, with waits that double; the last error is raised."""
+    """Call until it succeeds, with waits that double; the last error is raised, and at once a ValueError: what is wrong with a request or its settings stays wrong."""
     for attempt in range(attempts):
         try:
             return call()
+        except ValueError:
+            raise
         except Exception:
             if attempt == attempts - 1:
                 raise
@@ -75,8 +78,8 @@ def cited_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer the question from the evidence below. Mark each statement with its evidence, like [E1]. Where sources disagree, say so and name both.\n\nQuestion: "), question, F.lit("\n\n"), context, F.lit("\n"))
 
 
-def generate(df: DataFrame, key: str, prompt_col: str, llm: LLM | None = None, temperature: float = 0.1) -> DataFrame:
-    """(key, reply, error): the model's reply to each prompt; a failed call becomes an error, not the end of the job."""
+def generate(df: DataFrame, key: str, prompt_col: str, llm: LLM | None = None, temperature: float = 0.1, attempts: int = 5, first_wait: float = 1.0) -> DataFrame:
+    """(key, reply, error): the model's reply to each prompt; a call that fails again after its retries becomes an error, not the end of the job."""
     llm = llm or EchoLLM()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +87,7 @@ def generate(df: DataFrame, key: str, prompt_col: str, llm: LLM | None = None, t
             out = []
             for k, prompt in zip(batch["key"], batch["prompt"]):
                 try:
-                    out.append((k, llm.generate(prompt, temperature), None))
+                    out.append((k, with_retries(lambda prompt=prompt: llm.generate(prompt, temperature), attempts, first_wait), None))
                 except Exception as e:  # noqa: BLE001
                     out.append((k, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["key", "reply", "error"])
@@ -97,6 +100,7 @@ ENTITY_SCHEMA = "entities array<struct<name:string,type:string>>"
 RELATION_SCHEMA = "relations array<struct<subject:string,predicate:string,object:string,evidence:string>>"
 
 
+#: The kinds of names in the JSON reply are fixed values.
 def extraction_prompts(text: Column) -> tuple[Column, Column]:
     """Prompts for the names and the relations of a passage, to be answered in JSON."""
     names = F.concat(F.lit('List the names in the passage as JSON {"entities": [{"name": ..., "type": PERSON|FACTION|EVENT|PLACE|ARTIFACT|OBJECT|OTHER}]}.\n\nPassage:\n'), text)
@@ -115,17 +119,19 @@ def parsed_claims(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     return rows.select(*rest, *[F.when(whole, F.col(f"r.{c}")).alias(c) for c in ("subject", "predicate", "object")], F.coalesce("r.evidence", F.lit("")).alias("evidence"), F.when(~whole, "incomplete relation").alias("error"))
 
 
-def extract_claims(chunks: DataFrame, llm: LLM | None = None, least: int = 100) -> tuple[DataFrame, DataFrame]:
+def extract_claims(chunks: DataFrame, llm: LLM | None = None, least: int = 100, attempts: int = 5, first_wait: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(claims, names) that a model finds in the chunks of at least ``least`` characters; a failed or unreadable reply is a row with an error.
 
-    Both prompts of a chunk are answered where the chunk stands; nothing is gathered before.
+    Both prompts of a chunk are answered once, where the chunk stands, and the replies are written before they are read; a chunk
+    delivered again counts once.
     """
+    rows = chunks.filter(F.length(F.trim("text")) >= least).dropDuplicates(["chunk_id"])
     names, relations = extraction_prompts(F.col("text"))
-    rows = chunks.filter(F.length(F.trim("text")) >= least)
-    meta = rows.select("chunk_id", "document_id", "source_type")
-    found = generate(rows.select("chunk_id", relations.alias("prompt")), "chunk_id", "prompt", llm, 0.0)
-    failed = found.filter("error IS NOT NULL").select("chunk_id", *[F.lit(None).cast("string").alias(c) for c in ("subject", "predicate", "object")], F.lit("").alias("evidence"), "error")
-    claims = parsed_claims(found.filter("error IS NULL").select("chunk_id", "reply")).unionByName(failed).join(meta, "chunk_id")
-    called = generate(rows.select("chunk_id", names.alias("prompt")), "chunk_id", "prompt", llm, 0.0)
+    asked = rows.select(F.struct("chunk_id", "document_id", "source_type").alias("of"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("prompt")) for k, p in (("relations", relations), ("names", names))])).alias("p"))
+    replies = cut_lineage(generate(asked.select(F.struct("of.*", "p.kind").alias("key"), "p.prompt"), "key", "prompt", llm, 0.0, attempts, first_wait).select("key.*", "reply", "error"))
+    found = replies.filter("kind = 'relations'").drop("kind")
+    failed = found.filter("error IS NOT NULL").select("chunk_id", "document_id", "source_type", *[F.lit(None).cast("string").alias(c) for c in ("subject", "predicate", "object")], F.lit("").alias("evidence"), "error")
+    claims = parsed_claims(found.filter("error IS NULL").drop("error")).unionByName(failed)
+    called = replies.filter("kind = 'names'")
     listed = called.select("chunk_id", F.explode(salvage_json(F.col("reply"), ENTITY_SCHEMA)["entities"]).alias("e")).select("chunk_id", "e.name", "e.type")
     return claims, listed

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lorequarry.functions.entities import NOISE_NAMES, passage_entities
 from lorequarry.functions.text import first_filled
+from lorequarry.session import cut_lineage
 from lorequarry.sources.units import latest
 
 
@@ -51,7 +52,7 @@ def _grams(c: Column, every: bool) -> Column:
 def substring_matches(left: DataFrame, right: DataFrame, left_col: str, right_col: str, both_ways: bool = True) -> DataFrame:
     """Distinct (left, right) with the left string in the right one or, ``both_ways``, the right in the left one; case is ignored.
 
-    A string contained in another shares its rarest-looking trigram with it, so both sides are joined by trigram and then checked;
+    A string contained in another shares its trigram of least hash with it, so both sides are joined by trigram and then checked;
     no pair of strings meets that has no trigram in common. Null and empty strings match nothing.
     """
     a = left.select(F.col(left_col).alias("l")).filter("l <> ''").distinct().withColumn("low_l", F.lower("l"))
@@ -133,6 +134,7 @@ def trails(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, limit: int | N
         # Of the extensions of one trail the first by edge id come first; those of edges it holds already fall away.
         nth = F.dense_rank().over(Window.partitionBy("node").orderBy("edge_id"))
         both = both.withColumn("_n", nth).filter(F.col("_n") <= limit + hops - 1).drop("_n")
+    both = cut_lineage(both)  # each hop reads the edges, and each later hop and the result the hop
     found = []
     for _ in range(hops):
         rest = ["have"] if limit is not None else []
@@ -142,6 +144,7 @@ def trails(edges: DataFrame, seeds: DataFrame, max_hops: int = 3, limit: int | N
             rank = F.row_number().over(Window.partitionBy("seed").orderBy("edge_ids", "nodes"))
             here = here.withColumn("_r", rank).filter(F.col("_r") <= limit).filter(F.col("_r") <= limit - F.col("have")).drop("_r")
             here = here.withColumn("have", F.col("have") + F.count("*").over(Window.partitionBy("seed")))
+        here = cut_lineage(here)
         found.append(here)
         if limit is not None:
             here = here.filter(F.col("have") < limit)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.config import EngineConfig
 from lorequarry.functions.entities import analysed_entities, seed_entity
 from lorequarry.operators import answers, graph, retrieval
 from lorequarry.operators.vectors import Embedder, HashingEmbedder, embed, nearest
+from lorequarry.session import cut_lineage
+from lorequarry.sources.sinks import upsert
 
 
 class BadRequest(ValueError):
@@ -30,7 +33,11 @@ class Answer:
 
 
 class Engine:
-    """Holds the tables of an archive: chunks, and what was derived from them."""
+    """Holds the tables of an archive: chunks, claims, and what is derived from them, which is made once and stored.
+
+    Names, their co-occurrence, vectors and claim edges are written when they are first asked for; ``save`` and ``load`` keep
+    them for other sessions, so a question reads them and derives nothing from the archive.
+    """
 
     def __init__(self, chunks: DataFrame, claims: DataFrame | None = None, config: EngineConfig | None = None, embedder: Embedder | None = None, llm: answers.LLM | None = None):
         self.config = config or EngineConfig()
@@ -38,16 +45,53 @@ class Engine:
         self.llm = llm or answers.EchoLLM()
         self.chunks = chunks.dropDuplicates(["chunk_id"])
         self.claims = claims
+        self._stored: dict[str, DataFrame] = {}
 
     @staticmethod
     def health() -> dict[str, str]:
         return {"status": "ok"}
 
+    def _kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(make())
+        return self._stored[name]
+
     def names(self) -> DataFrame:
-        return graph.chunk_entities(self.chunks)
+        return self._kept("names", lambda: graph.chunk_entities(self.chunks))
+
+    def name_edges(self) -> DataFrame:
+        return self._kept("name_edges", lambda: graph.cooccurrence(self.names()))
 
     def vectors(self) -> DataFrame:
-        return embed(self.chunks, "chunk_id", "text", self.embedder)
+        return self._kept("vectors", lambda: embed(self.chunks, "chunk_id", "text", self.embedder))
+
+    def claim_edges(self) -> DataFrame:
+        key = F.concat_ws("\u0001", "subject", "predicate", "object", "chunk_id")
+        return self._kept("claim_edges", lambda: graph.claim_graph(self.claims).withColumn("edge_id", key))
+
+    def save(self, path: str) -> None:
+        """Write all tables under ``path``."""
+        tables = {"chunks": self.chunks, "names": self.names(), "name_edges": self.name_edges(), "vectors": self.vectors()}
+        if self.claims is not None:
+            tables |= {"claims": self.claims, "claim_edges": self.claim_edges()}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, with_claims: bool = True, config: EngineConfig | None = None, embedder: Embedder | None = None, llm: answers.LLM | None = None) -> Engine:
+        """An engine on the tables that ``save`` wrote; the embedder must be the one they were made with."""
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        engine = cls(read("chunks"), read("claims") if with_claims else None, config, embedder, llm)
+        engine._stored = {name: read(name) for name in ("names", "name_edges", "vectors", *(("claim_edges",) if with_claims else ()))}
+        return engine
+
+    def upsert(self, chunks: DataFrame) -> None:
+        """New and changed chunks take the places of those with the same id, in the vectors and in the names too."""
+        fresh = Engine(chunks, None, self.config, self.embedder)
+        names, vectors = upsert(self.names(), fresh.names(), ["chunk_id"]), upsert(self.vectors(), fresh.vectors(), ["chunk_id"])
+        self.chunks = cut_lineage(upsert(self.chunks, fresh.chunks.select(*self.chunks.columns), ["chunk_id"]))
+        self._stored |= {"names": cut_lineage(names), "vectors": cut_lineage(vectors)}
+        self._stored.pop("name_edges", None)
 
     def seeds(self, questions: DataFrame) -> DataFrame:
         """(qid, question, seed) of the questions that are not blank."""
@@ -56,13 +100,12 @@ class Engine:
     def queries(self, questions: DataFrame) -> DataFrame:
         """(qid, question, seed, neighbours, query_ord, query_id, query): the question and its expansions by names beside its seed."""
         asked = self.seeds(questions)
-        names = self.names()
-        near = graph.graph_neighbours(asked.select("seed"), graph.mentions(names).select("entity"), graph.cooccurrence(names), self.config.neighbour_limit)
+        near = graph.graph_neighbours(asked.select("seed"), graph.mentions(self.names()).select("entity"), self.name_edges(), self.config.neighbour_limit)
         near = near.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("neighbours"))
         asked = asked.join(near, "seed", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
         chosen = retrieval.expansion_names(F.col("neighbours"), most=self.config.expansions)
         rows = asked.select("qid", "question", "seed", "neighbours", F.posexplode(retrieval.expanded_queries(F.col("question"), chosen)).alias("query_ord", "query"))
-        return rows.withColumn("query_id", F.concat_ws("#", "qid", "query_ord"))
+        return cut_lineage(rows.withColumn("query_id", F.concat_ws("#", "qid", "query_ord")))
 
     def _hits(self, queries: DataFrame, k: int) -> DataFrame:
         asked = embed(queries, "query_id", "query", self.embedder, is_query=True)
@@ -92,10 +135,6 @@ class Engine:
             raise NotFound("no evidence")
         return Answer(row.question, row.seed_entity, answers.with_retries(lambda: self.llm.generate(row.prompt)), row.evidence_count)
 
-    def claim_edges(self) -> DataFrame:
-        edges = graph.claim_graph(self.claims)
-        return edges.withColumn("edge_id", F.concat_ws("\u0001", "subject", "predicate", "object", "chunk_id"))
-
     def retrieve_modular(self, questions: DataFrame, top_k: int | None = None, max_hops: int | None = None, final_k: int | None = None) -> DataFrame:
         """Ranked evidence from vectors and from trails in the claim graph: (qid, rank, kind, text, chunk_id, ..., final_score)."""
         c = self.config

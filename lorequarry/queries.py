@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Callable
 
@@ -67,6 +68,20 @@ def title_from_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cleaning
 
 
+def _nfkc_sql(c: str) -> str:
+    """NFKC in DuckDB, which has only NFC: compatibility forms are put in place of the characters of the blocks that have them."""
+    blocks = [(0xA0, 0x17F), (0x1C4, 0x1F3), (0x2000, 0x218F), (0x2460, 0x24FF), (0x3000, 0x303F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
+    forms = {chr(i): unicodedata.normalize("NFKC", chr(i)) for a, b in blocks for i in range(a, b + 1)}
+    forms = {k: v for k, v in forms.items() if v != k and unicodedata.normalize("NFC", k) != v}
+    one = {k: v for k, v in forms.items() if len(v) == 1}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"translate({c}, {quoted(''.join(one))}, {quoted(''.join(one.values()))})"
+    for k, v in forms.items():
+        if len(v) > 1 and k in "¨ªº¯´¸¼½¾ĲĳŀŉǄǅǆ‗…‥‼⁇℀№℠℡™ﬀﬁﬂﬃﬄﬅﬆ":
+            out = f"replace({out}, '{k}', {quoted(v)})"
+    return f"nfc_normalize({out})"
+
+
 @query(r"SELECT doc_id, md5(regexp_replace(text, '[^\P{C}\n\r\t]', '', 'g')) AS cleaned FROM documents WHERE text IS NOT NULL")
 def strip_control_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(text.remove_control_characters(F.col("text"))).alias("cleaned"))
@@ -84,12 +99,27 @@ def clean_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"), unicode=False)).alias("cleaned"))
 
 
-@query()
+_NO_CONTROLS = r"regexp_replace(coalesce(text, ''), '[^\P{C}\n\r\t]', '', 'g')"
+
+
+def _clean_sql(source: str, keys: str, more: str = "t") -> str:
+    """All cleaning steps over ``text`` of ``source``."""
+    return rf"""WITH a AS (SELECT {keys}, {_nfkc_sql(_NO_CONTROLS)} AS t FROM {source}),
+b AS (SELECT {keys}, regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS t FROM a),
+c AS (SELECT {keys}, regexp_replace(regexp_replace(t, '[\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g') AS t FROM b),
+d AS (SELECT {keys}, regexp_replace(t, '[\x09\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]*\n[\x09\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]*', chr(10), 'g') AS t FROM c),
+e AS (SELECT {keys}, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^{{S}}+|{{S}}+$', '', 'g') AS t FROM d),
+f AS (SELECT {keys}, regexp_replace(regexp_replace(t, '{{S}}+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g') AS t FROM e),
+g AS (SELECT {keys}, regexp_replace(t, '^{{S}}+|{{S}}+$', '', 'g') AS t FROM f)
+SELECT {keys}, {more} AS cleaned FROM g"""
+
+
+@query(_clean_sql("loaded_pages", "page_id, loaded_at"))
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "loaded_pages").select("page_id", "loaded_at", text.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query()
+@query(_clean_sql("documents", "doc_id", "regexp_replace(regexp_replace(regexp_replace(t, '{S}*\\n{S}*', ' ', 'g'), ' {2,}', ' ', 'g'), '^{S}+|{S}+$', '', 'g')"))
 def clean_for_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_for_embedding(F.col("text")).alias("cleaned"))
 
@@ -182,12 +212,22 @@ def document_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.document_export(documents, _pages(spark, sf_dir))
 
 
-@query()
+_META = ("document_id", "char_count", "word_count", "file_name", "source_type", "page", "section", "chapter", "chunk_index", "start_char", "end_char", "extraction_method", "extraction_confidence")
+_ONE_EACH = "(SELECT * FROM text_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at) = 1)"
+
+
+def _json_sql(columns: list[str] | tuple[str, ...], more: str = "") -> str:
+    """A JSON object of the columns that are not null, as Spark writes it."""
+    parts = [f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || to_json({c}) END" for c in columns]
+    return "'{' || concat_ws(',', " + ", ".join([*parts, *([more] if more else [])]) + ") || '}'"
+
+
+@query("SELECT chunk_id, " + _json_sql(["chunk_id", "document_id", "text", "char_count", "word_count"], "'\"metadata\":' || " + _json_sql(["chunk_id", *[c for c in _META if c not in ("char_count", "word_count")]])) + f" AS chunk FROM {_ONE_EACH}")
 def chunk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.chunk_export(table(spark, sf_dir, "text_chunks").dropDuplicates(["chunk_id"]).drop("extracted_at", "loaded_at"))
 
 
-@query()
+@query("SELECT chunk_id, " + _json_sql(_META) + f" AS metadata FROM {_ONE_EACH}")
 def scalar_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.scalar_metadata(table(spark, sf_dir, "text_chunks").dropDuplicates(["chunk_id"]))
 
@@ -269,7 +309,24 @@ def graph_neighbors_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_neighbours(_subjects(spark, sf_dir), graph.mentions(named).select("entity"), graph.cooccurrence(named), both_ways=False, noise=[""])
 
 
-@query()
+_in = lambda words: ", ".join(f"'{w}'" for w in words)
+_ASKED = r"""
+asked AS (SELECT qid, trim(question) AS question, list_filter(list_transform(regexp_extract_all(coalesce(question, ''), '\b((?:[A-Z][A-Za-z''-]+(?:{S}+(?:of|the|and))?{S}*){1,5})', 1),
+  lambda x: regexp_replace(regexp_replace(x, '{S}+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x NOT IN ({question_stops})) AS names,
+  regexp_extract_all(coalesce(question, ''), '(?:^|[^\p{L}\p{N}_])([A-Z][\p{L}\p{N}_''-]*(?:{S}+[A-Z][\p{L}\p{N}_''-]*)*)', 1) AS runs,
+  list_filter(regexp_split_to_array(replace(coalesce(question, ''), '?', ''), '{S}+'), lambda w: w <> '') AS tokens FROM eval_items),
+marked AS (SELECT *, array_to_string(list_transform(list_transform(tokens, lambda w: regexp_replace(w, '^[,.:;()\[\]{}"'']+|[,.:;()\[\]{}"'']+$', '', 'g')),
+  lambda w: CASE WHEN regexp_matches(w, '^\p{Lu}') AND w NOT IN ({seed_stops}) THEN w ELSE chr(1) END), ' ') AS line FROM asked),
+seeds_of AS (SELECT *, coalesce(list_filter(list_transform(regexp_split_to_array(line, ' ?\x01 ?'), lambda r: regexp_replace(r, '^{S}+|{S}+$', '', 'g')), lambda r: contains(r, ' '))[-1], question) AS seed,
+  list_filter(runs, lambda x, i: list_position(runs, x) = i) AS analysed FROM marked)
+""".replace("{question_stops}", _in(names.QUESTION_STOPWORDS)).replace("{seed_stops}", _in(names.SEED_STOPWORDS))
+
+
+@query(f"""WITH {_NAMES}, {_ASKED}, named_in AS (SELECT DISTINCT qid AS query_id, unnest(names) AS name FROM asked),
+hit AS (SELECT DISTINCT name, entity FROM (SELECT DISTINCT name FROM named_in WHERE name <> '') JOIN (SELECT DISTINCT entity FROM men WHERE entity <> '') ON {_BOTH.replace("seed", "name")}),
+edge AS (SELECT a AS node, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs), near AS (SELECT DISTINCT name, other AS related FROM hit JOIN edge ON entity = node),
+ranked AS (SELECT DISTINCT name, related, chunk_id FROM near JOIN men ON related = entity), kept AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY name ORDER BY chunk_id, related) <= 20)
+SELECT DISTINCT query_id, chunk_id, related FROM named_in JOIN kept USING (name) WHERE related NOT IN ({_in(names.NOISE_NAMES[:7])})""")
 def graph_evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the names beside those in each held-out question."""
     named = cut_lineage(_named(spark, sf_dir))
@@ -277,11 +334,11 @@ def graph_evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.evidence_search(asked, graph.mentions(named).select("entity"), graph.cooccurrence(named), graph.mentions(named))
 
 
-@query()
+@query(f"WITH {_ASKED} SELECT qid, array_to_string(names, '|') AS names, array_to_string(analysed, '|') AS analysed, seed FROM seeds_of")
 def question_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names, analysed names and the seed of each held-out question."""
     q = F.col("question")
-    return table(spark, sf_dir, "eval_items").select("qid", names.question_entities(q).alias("names"), names.analysed_entities(q).alias("analysed"), names.seed_entity(q).alias("seed"))
+    return table(spark, sf_dir, "eval_items").select("qid", F.array_join(names.question_entities(q), "|").alias("names"), F.array_join(names.analysed_entities(q), "|").alias("analysed"), names.seed_entity(q).alias("seed"))
 
 
 # Claims
@@ -330,13 +387,13 @@ def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRAILS = f"""WITH RECURSIVE {_SUPPLY}, ways AS (SELECT subject AS node, object AS other, edge_id, predicate FROM edges UNION ALL SELECT object, subject, edge_id, predicate FROM edges),
 walk AS (SELECT s_name AS seed, [s_name] AS nodes, []::VARCHAR[] AS ids, s_name AS tip, 0 AS hops, '' AS line FROM supplier
-UNION ALL SELECT seed, list_append(nodes, other), list_append(ids, edge_id), other, hops + 1, line || CASE WHEN hops > 0 THEN ' | ' ELSE '' END || tip || ' -[' || predicate || ']-> ' || other FROM walk JOIN ways ON node = tip WHERE hops < 2 AND NOT list_contains(ids, edge_id)),
+UNION ALL SELECT seed, list_append(nodes, other), list_append(ids, edge_id), other, hops + 1, line || CASE WHEN hops > 0 THEN ' | ' ELSE '' END || tip || ' -[' || predicate || ']-> ' || other FROM walk JOIN ways ON node = tip WHERE hops < 3 AND NOT list_contains(ids, edge_id)),
 kept AS (SELECT * FROM walk WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hops, ids, nodes) <= 50)"""
 
 
 def _supply_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _supply_edges(spark, sf_dir)
-    return graph.trails(edges, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("seed")), 2, 50)
+    return graph.trails(edges, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("seed")), 3, 50)
 
 
 @query(_TRAILS + " SELECT seed, array_to_string(nodes, '/') AS nodes, array_to_string(ids, '/') AS edge_ids, hops FROM kept")
@@ -449,14 +506,44 @@ def _engine(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
     return engine, table(spark, sf_dir, "eval_items").select("qid", "question")
 
 
-@query()
+#: The hashing embedder in SQL: counts of words by the first eight hex digits of their MD5, modulo 64, scaled to length 1.
+_VECTOR = r"""(SELECT {key}, list_transform(n, lambda x: (x / sqrt(list_sum(list_transform(n, lambda y: y * y))))::FLOAT::DOUBLE) AS v FROM (
+  SELECT {key}, list_transform(range(0, 64), lambda b: len(list_filter(h, lambda x: x = b))::DOUBLE) AS n FROM (
+    SELECT {key}, list_transform(regexp_extract_all(lower({text}), '[\p{L}\p{N}]+'), lambda w: ('0x' || md5(w)[1:8])::UBIGINT % 64) AS h FROM {source} WHERE trim({text}) <> '') WHERE len(h) > 0))"""
+_vector = lambda source, key, text: _VECTOR.replace("{source}", source).replace("{key}", key).replace("{text}", text)
+_CHUNKS = f"one AS MATERIALIZED {_ONE_EACH}, chunk_v AS MATERIALIZED {_vector('one', 'chunk_id', 'text')}"
+_NEAREST = """(SELECT {key}, chunk_id, round(list_cosine_similarity(q.v, c.v), 12) AS score, row_number() OVER (PARTITION BY {key} ORDER BY round(list_cosine_similarity(q.v, c.v), 12) DESC, chunk_id) AS rank
+  FROM {asked} q, chunk_v c QUALIFY rank <= 10)"""
+_nearest = lambda asked, key: _NEAREST.replace("{asked}", asked).replace("{key}", key)
+_EXPANDED = f"""{_NAMES}, {_ASKED}, {_CHUNKS}, ents AS (SELECT DISTINCT entity FROM men WHERE entity <> ''),
+hit AS (SELECT DISTINCT seed, entity FROM (SELECT DISTINCT seed FROM seeds_of WHERE question <> '' AND seed <> '') JOIN ents ON {_BOTH}),
+edge AS (SELECT a AS node, b AS other, count FROM pairs UNION ALL SELECT b, a, count FROM pairs),
+beside AS (SELECT seed, other AS name, sum(count)::BIGINT AS count FROM hit JOIN edge ON entity = node GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY count DESC, name) AS rank FROM beside QUALIFY rank <= 20),
+lists AS (SELECT seed, list(name ORDER BY rank) AS neighbours FROM ranked WHERE name NOT IN ({_NOISE}) GROUP BY 1),
+with_lists AS (SELECT qid, question, s.seed, coalesce(neighbours, []::VARCHAR[]) AS neighbours FROM seeds_of s LEFT JOIN lists l ON l.seed = s.seed WHERE question <> ''),
+chosen AS (SELECT *, (CASE WHEN len(list_filter(neighbours, lambda n: regexp_matches(n, '{"|".join(retrieval.BODY_WORDS)}'))) > 0
+  THEN list_filter(neighbours, lambda n: regexp_matches(n, '{"|".join(retrieval.BODY_WORDS)}')) ELSE neighbours END)[1:3] AS names FROM with_lists),
+queries AS (SELECT *, unnest(texts) AS query, generate_subscripts(texts, 1) - 1 AS query_ord FROM (
+  SELECT qid, question, seed, neighbours, list_concat([question], flatten(list_transform(names, lambda n: [n || ' ' || question, n || ' {retrieval.EXPANSION_WORDS}']))) AS texts FROM chosen)),
+query_v AS MATERIALIZED {_vector("queries", "qid, query_ord", "query")},
+hits AS {_nearest("query_v", "qid, query_ord")},
+fused AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY query_ord, rank, chunk_id) AS ord, chunk_id, query_ord, rank, score
+  FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY qid, chunk_id ORDER BY query_ord, rank, score) = 1))"""
+
+
+@query(f"""WITH {_EXPANDED} SELECT qid, ord::INT AS ord, chunk_id, query_ord::INT AS query_ord, rank::INT AS rank, round(score, 6) AS score, text, document_id, source_type FROM fused JOIN one USING (chunk_id)""")
 def ask_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for every held-out question: seed, neighbours, expanded queries, nearest chunks, fused."""
     engine, asked = _engine(spark, sf_dir)
-    return engine.retrieve(asked)
+    return engine.retrieve(asked).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH {_EXPANDED}, context AS (SELECT qid, count(*)::INT AS evidence_count, string_agg('[Evidence ' || ord || ']' || chr(10) || 'chunk: ' || chunk_id || chr(10) || 'document: ' || coalesce(nullif(document_id, ''), 'unknown')
+  || chr(10) || 'source: ' || coalesce(nullif(source_type, ''), 'unknown') || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY ord) AS context FROM fused JOIN one USING (chunk_id) WHERE ord <= 15 GROUP BY 1)
+SELECT qid, question, seed AS seed_entity, 'Answer the question from the evidence alone. If it does not suffice, say what is missing.' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Subject: ' || seed || chr(10)
+  || 'Related names: ' || array_to_string(neighbours[1:12], ', ') || chr(10) || chr(10) || 'Evidence:' || chr(10) || context || chr(10) || chr(10)
+  || 'Write three parts: ''Answer'', ''Reasons'' and ''Evidence used'', naming the numbers of the evidence.' || chr(10) AS prompt, evidence_count FROM with_lists JOIN context USING (qid)""")
 def ask_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, asked = _engine(spark, sf_dir)
     return engine.ask_batch(asked)
@@ -475,20 +562,24 @@ def ask_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.citations(engine.retrieve_modular(asked))
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, asked AS (SELECT qid, question FROM eval_items), query_v AS MATERIALIZED {_vector("asked", "qid", "question")}, hits AS {_nearest("query_v", "qid")},
+matched AS (SELECT chunk_id, list(question ORDER BY qid, question) AS all_questions, min(qid) AS first_question, arg_min(rank, (qid, rank)) AS first_rank FROM hits JOIN asked USING (qid) GROUP BY 1)
+SELECT chunk_id, text, array_to_string(list_filter(all_questions, lambda x, i: list_position(all_questions, x) = i), '|') AS matched_questions, first_question, first_rank::INT AS first_rank
+FROM matched JOIN one USING (chunk_id) WHERE length(regexp_replace(text, '^{{S}}+|{{S}}+$', '', 'g')) >= 100""")
 def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that any held-out question finds, with the questions that find them."""
     engine, asked = _engine(spark, sf_dir)
     hits = nearest(embed(asked, "qid", "question", is_query=True), engine.vectors(), 10, "qid", "chunk_id").join(asked, "qid")
-    return retrieval.select_candidates(hits.withColumn("question_ord", F.col("qid")), engine.chunks)
+    return retrieval.select_candidates(hits.withColumn("question_ord", F.col("qid")), engine.chunks).withColumn("matched_questions", F.array_join("matched_questions", "|"))
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, query_v AS MATERIALIZED {_vector("eval_items", "qid", "passage")}, hits AS {_nearest("query_v", "qid")}
+SELECT qid, rank::INT AS rank, chunk_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM hits""")
 def text_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest chunks to every held-out passage."""
     items = table(spark, sf_dir, "eval_items").select("qid", "passage")
     engine, _ = _engine(spark, sf_dir)
-    return nearest(embed(items, "qid", "passage", is_query=True), engine.vectors(), 10, "qid", "chunk_id")
+    return nearest(embed(items, "qid", "passage", is_query=True), engine.vectors(), 10, "qid", "chunk_id").withColumns({c: F.round(c, 6) for c in ("score", "distance")})
 
 
 # Rows that arrive over time

@@ -115,3 +115,61 @@ def test_ask_ranked_walks_as_far_as_configured(spark, tmp_path):
     spark.createDataFrame([("q1", "Who ruled House Aldermoor?")], "qid string, question string").write.parquet(f"{tmp_path}/eval_items.parquet")
     found = {r.text for r in QUERIES["ask_ranked"](spark, str(tmp_path)).filter("kind = 'graph'").collect()}
     assert found == {"first fact", "second fact", "third fact"}
+
+
+def test_one_call_for_each_prompt(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    class Counting:
+        def generate(self, prompt, temperature=0.1):
+            with open(calls, "a") as f:
+                f.write("relations\n" if '"relations"' in prompt else "names\n")
+            if "fails" in prompt:
+                raise TimeoutError("slow")
+            if "refused" in prompt:
+                raise ValueError("no key")
+            return '{"relations": [{"subject": "A", "predicate": "P", "object": "B"}], "entities": []}'
+
+    rows = [("c1", "d", "w", "long enough " * 10), ("c1", "d", "w", "long enough " * 10), ("c2", "d", None, "this fails " * 10), ("c3", "d", None, "is refused " * 10)]
+    claims, listed = answers.extract_claims(spark.createDataFrame(rows, "chunk_id string, document_id string, source_type string, text string"), Counting(), attempts=2, first_wait=0.0)
+    got = sorted((r.chunk_id, r.subject, r.error) for r in claims.collect())
+    assert got == [("c1", "A", None), ("c2", None, "TimeoutError: slow"), ("c3", None, "ValueError: no key")] and claims.count() == 3 and listed.count() == 0
+    lines = calls.read_text().split()
+    # One call for a good prompt and for one that is refused, two for one that fails.
+    assert lines.count("relations") == lines.count("names") == 4
+
+
+def test_engine_tables_are_stored(spark, tmp_path):
+    rows = [("c1", "d", "Anna Roe ruled House Aldermoor beside Bela Kun for years.", "wiki"), ("c2", "d", "Bela Kun fought the Iron Order at the river gate.", "chronicle")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, text string, source_type string")
+    asked = spark.createDataFrame([("q1", "Who stood beside Anna Roe?")], "qid string, question string")
+    engine = Engine(chunks)
+    want = sorted(map(tuple, engine.retrieve(asked).collect()))
+    assert engine.vectors() is engine.vectors()
+    engine.save(str(tmp_path / "store"))
+    loaded = Engine.load(spark, str(tmp_path / "store"), with_claims=False)
+    assert sorted(map(tuple, loaded.retrieve(asked).collect())) == want and want
+    loaded.upsert(spark.createDataFrame([("c2", "d", "Clara Ford met Anna Roe.", "wiki"), ("c3", "e", "Bela Kun saw Anna Roe.", None)], chunks.schema))
+    assert {r.chunk_id for r in loaded.vectors().collect()} == {"c1", "c2", "c3"} and {r.chunk_id: r.entities for r in loaded.names().collect()}["c2"] == ["Anna Roe", "Clara Ford"]
+    assert {(r.a, r.b) for r in loaded.name_edges().collect()} >= {("Anna Roe", "Clara Ford"), ("Anna Roe", "Bela Kun")}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from lorequarry.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(Session())
