@@ -125,10 +125,17 @@ def _arrow(kind: str) -> pa.DataType:
 
 #: Vectors of the bounded sample on which the centres of an index are fitted.
 SAMPLE_VECTORS = 50_000
+#: Centres at most (broadcast), and the share of them that a query probes.
+MOST_CENTRES, PROBED = 4096, 0.7
 
 
-def build_index(corpus: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", centres: int = 16, seed: int = 3) -> tuple[DataFrame, np.ndarray]:
-    """(rows with their list, centres): every row in the list of its nearest centre; centres fitted on at most SAMPLE_VECTORS rows."""
+def build_index(corpus: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", centres: int | None = None, seed: int = 3) -> tuple[DataFrame, np.ndarray]:
+    """(rows with their list, centres): every row in the list of its nearest centre; centres fitted on at most SAMPLE_VECTORS rows.
+
+    Without ``centres`` there are as many as the square root of the rows, at most MOST_CENTRES, so lists grow no faster than their number.
+    """
+    if centres is None:
+        centres = min(max(int(corpus.count() ** 0.5), 1), MOST_CENTRES)
     sample = corpus.select(id_col, vector_col).filter(F.size(vector_col) > 0).orderBy(F.xxhash64(id_col)).limit(SAMPLE_VECTORS).toPandas()
     x = np.asarray(sample[vector_col].tolist(), dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -155,10 +162,18 @@ def _assign(df: DataFrame, id_col: str, vector_col: str, centres: np.ndarray, li
     return rows.withColumnsRenamed({"id": id_col, "v": vector_col})
 
 
-def search_index(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 10, probes: int = 6, query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): the nearest rows among the lists of the ``probes`` centres nearest to a query."""
+def search_index(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 10, probes: int | None = None, query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score): the nearest rows among the lists of the ``probes`` centres nearest to a query (PROBED of all, if not given).
+
+    The recall of the default is what the query ``index_recall`` reports. Lists are cut by hash of the id, so a list that holds
+    a large part of all rows is searched by many tasks.
+    """
+    probes = probes or max(1, round(PROBED * len(centres)))
     q = _assign(queries, query_id, vector_col, centres, probes).withColumnRenamed(vector_col, "qv")
     dot = F.aggregate(F.zip_with("qv", vector_col, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    hits = q.join(index, "list").select(query_id, id_col, dot.alias("score"))
+    parts = partitions(queries.sparkSession)
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    index = index.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    hits = q.join(index, ["list", "part"]).select(query_id, id_col, dot.alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select(query_id, "rank", id_col, "score")

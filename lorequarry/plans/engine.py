@@ -147,7 +147,7 @@ class Engine:
             edges = self.claim_edges()
             wanted = asked.select("qid", F.explode(analysed_entities(F.col("question"))).alias("name"))
             found = graph.search_entities(edges, wanted.select("name").distinct(), c.entity_limit)
-            seeds = wanted.join(found, "name").select("qid", F.col("entity").alias("seed")).distinct()
+            seeds = cut_lineage(wanted.join(found, "name").select("qid", F.col("entity").alias("seed")).distinct())
             paths = graph.trails(edges, seeds.select("seed"), max_hops or c.max_hops, c.path_limit)
             facts = graph.graph_evidence(graph.with_relationships(paths, edges)).join(seeds, "seed")
             facts = facts.select("qid", (F.lit(1_000_000).cast("long") + F.col("ord")).alias("ord"), F.lit("graph").alias("kind"), "text", "chunk_id", "document_id", "source_type", "predicate", "score")

@@ -464,11 +464,11 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the index against the exact search, over the stated queries: one row."""
+    """Recall of the index, as it is by default, against the exact search, over the stated queries: one row."""
     corpus = table(spark, sf_dir, "embeddings")
     index, centres = build_index(corpus)
     asked = corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = search_index(asked, index, centres, 10, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    found = search_index(asked, index, centres).select("query_id", "vec_id", F.lit(1).alias("hit"))
     return _knn(spark, sf_dir).join(found, ["query_id", "vec_id"], "left").agg(F.count("*").alias("expected"), F.count("hit").alias("found"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
