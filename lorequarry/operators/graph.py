@@ -76,7 +76,8 @@ def graph_neighbours(seeds: DataFrame, entities: DataFrame, edges: DataFrame, li
     ``limit`` holds for each seed; noise names are left out after it, as the search does. A seed matches names that contain it or,
     ``both_ways``, that it contains.
     """
-    matched = substring_matches(seeds, entities, "seed", "entity", both_ways)
+    # Written, so that few matches are broadcast by their size and the edges stay where they are.
+    matched = cut_lineage(substring_matches(seeds, entities, "seed", "entity", both_ways))
     beside = matched.join(symmetric(edges), F.col("entity") == F.col("node")).groupBy("seed", F.col("other").alias("name")).agg(F.sum("count").alias("count"))
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("count"), "name"))
     ranked = beside.withColumn("rank", rank).filter(F.col("rank") <= limit)
@@ -85,7 +86,7 @@ def graph_neighbours(seeds: DataFrame, entities: DataFrame, edges: DataFrame, li
 
 def evidence_search(query_names: DataFrame, entities: DataFrame, edges: DataFrame, found_in: DataFrame, limit: int = 20, noise: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, related): chunks of the names beside those that match a query's names, at most ``limit`` for each of them."""
-    near = substring_matches(query_names, entities, "name", "entity", True).join(symmetric(edges), F.col("entity") == F.col("node")).select("name", F.col("other").alias("related")).distinct()
+    near = cut_lineage(substring_matches(query_names, entities, "name", "entity", True)).join(symmetric(edges), F.col("entity") == F.col("node")).select("name", F.col("other").alias("related")).distinct()
     rows = near.join(found_in, F.col("related") == found_in["entity"]).select("name", "related", "chunk_id").distinct()
     rank = F.row_number().over(Window.partitionBy("name").orderBy("chunk_id", "related"))
     kept = rows.withColumn("rank", rank).filter(F.col("rank") <= limit).filter(~F.col("related").isin(*(noise if noise is not None else NOISE_NAMES[:7])))

@@ -22,7 +22,9 @@ BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
 class Embedder(Protocol):
-    """What turns texts into vectors of length 1. Models plug in here; they are built once in each worker."""
+    """What turns texts into vectors of length 1. Models plug in here; they are built once in each worker.
+
+    A model with a ``query_instruction`` has it put before every query, not before passages."""
 
     dimensions: int
 
@@ -51,16 +53,29 @@ class HashingEmbedder:
         return out / np.where(length > 0, length, 1)
 
 
+#: The instruction that retrieval models of the usual kind expect before a query (fixed value).
+QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
+
+
+def embed_query(text: str, embedder: Embedder | None = None) -> list[float]:
+    """The vector of one query; a blank one is refused."""
+    if not text.strip():
+        raise ValueError("the query is blank")
+    embedder = embedder or HashingEmbedder()
+    return embedder.embed([getattr(embedder, "query_instruction", "") + text], True)[0].tolist()
+
+
 def embed(df: DataFrame, id_col: str, text_col: str, embedder: Embedder | None = None, is_query: bool = False, batch: int = 64) -> DataFrame:
     """(id, embedding array<float>) of every row with text that is not blank."""
     embedder = embedder or HashingEmbedder()
     kind = df.schema[id_col].dataType.simpleString()
+    before = getattr(embedder, "query_instruction", "") if is_query else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for lo in range(0, len(rows), batch):
                 part = rows.iloc[lo : lo + batch]
-                yield pd.DataFrame({"id": part["id"], "embedding": list(embedder.embed(part["text"].tolist(), is_query).astype(np.float32))})
+                yield pd.DataFrame({"id": part["id"], "embedding": list(embedder.embed([before + t for t in part["text"]], is_query).astype(np.float32))})
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.trim("text") != "")
     return source.mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)

@@ -41,3 +41,18 @@ def test_embedding(spark):
     df = spark.createDataFrame([("a", "red gate"), ("b", " "), ("c", None), ("d", "gate RED")], "id string, text string")
     got = {r.id: np.array(r.embedding) for r in embed(df, "id", "text").collect()}
     assert set(got) == {"a", "d"} and np.allclose(got["a"], got["d"]) and abs(np.linalg.norm(got["a"]) - 1) < 1e-6
+
+
+def test_queries_have_their_instruction(spark):
+    import pytest
+    from lorequarry.operators.vectors import QUERY_INSTRUCTION, HashingEmbedder, embed, embed_query
+
+    class Instructed(HashingEmbedder):
+        query_instruction = QUERY_INSTRUCTION
+
+    df = spark.createDataFrame([(1, "who ruled"), (2, " ")], "id int, text string")
+    plain, asked = ({r.id: r.embedding for r in embed(df, "id", "text", Instructed(), is_query=q).collect()} for q in (False, True))
+    assert plain.keys() == asked.keys() == {1} and plain[1] != asked[1]
+    assert asked[1] == pytest.approx(embed_query("who ruled", Instructed())) and plain[1] == pytest.approx(embed_query("who ruled"))
+    with pytest.raises(ValueError, match="blank"):
+        embed_query("  ")
