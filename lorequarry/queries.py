@@ -206,7 +206,20 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(_pages(spark, sf_dir)).withColumn("text", F.md5("text"))
 
 
-@query()
+def _json_sql(columns: list[str] | tuple[str, ...], more: str = "") -> str:
+    """A JSON object of the columns that are not null, as Spark writes it."""
+    parts = [f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || to_json({c}) END" for c in columns]
+    return "'{' || concat_ws(',', " + ", ".join([*parts, *([more] if more else [])]) + ") || '}'"
+
+
+_PAGE_JSON = _json_sql(["unit_index", "text", "page", "section", "chapter", "extraction_method", "extraction_confidence"])
+_PAGES_JSON = "'\"pages\":[' || coalesce(pages, '') || '],\"page_count\":' || coalesce(n, 0)"
+
+
+@query(f"""WITH d AS (SELECT * FROM loaded_documents QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY loaded_at DESC) = 1),
+p AS (SELECT * FROM loaded_pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY loaded_at DESC) = 1),
+g AS (SELECT document_id, string_agg({_PAGE_JSON}, ',' ORDER BY unit_index, text, page) AS pages, count(*) AS n FROM p GROUP BY 1)
+SELECT document_id, {_json_sql(["document_id", "file_name", "file_path", "extension", "source_type", "title", "ingestion_error"], _PAGES_JSON)} AS document FROM d LEFT JOIN g USING (document_id)""")
 def document_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = units.latest(table(spark, sf_dir, "loaded_documents"), ["document_id"], ["loaded_at"]).drop("discovered_at", "loaded_at")
     return sinks.document_export(documents, _pages(spark, sf_dir))
@@ -216,12 +229,6 @@ _META = ("document_id", "char_count", "word_count", "file_name", "source_type",
 _ONE_EACH = "(SELECT * FROM text_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at) = 1)"
 
 
-def _json_sql(columns: list[str] | tuple[str, ...], more: str = "") -> str:
-    """A JSON object of the columns that are not null, as Spark writes it."""
-    parts = [f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || to_json({c}) END" for c in columns]
-    return "'{' || concat_ws(',', " + ", ".join([*parts, *([more] if more else [])]) + ") || '}'"
-
-
 @query("SELECT chunk_id, " + _json_sql(["chunk_id", "document_id", "text", "char_count", "word_count"], "'\"metadata\":' || " + _json_sql(["chunk_id", *[c for c in _META if c not in ("char_count", "word_count")]])) + f" AS chunk FROM {_ONE_EACH}")
 def chunk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.chunk_export(table(spark, sf_dir, "text_chunks").dropDuplicates(["chunk_id"]).drop("extracted_at", "loaded_at"))
