@@ -19,6 +19,7 @@ from lorequarry.plans.engine import Engine
 from lorequarry.session import cut_lineage, ensure_checkpoint_dir, table
 from lorequarry.sources import sinks, units
 from lorequarry.sources.chunks import document_texts as documents_of
+from lorequarry.sources.chunks import read_chunks
 from lorequarry.sources.questions import question_columns
 from lorequarry.streaming.ingest import read_stream, read_upserts, stream_upsert, windowed_counts
 
@@ -159,20 +160,74 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.latest(table(spark, sf_dir, "loaded_pages"), ["page_id"], ["loaded_at"])
 
 
-@query()
+def _lengths_sql(least_end: str) -> str:
+    """How many of the sums of sentence lengths are at most, or below, a value."""
+    return f"len(list_filter(total, lambda x: x {least_end}))"
+
+
+_STRIP = "regexp_replace({c}, '^{S}+|{S}+$', '', 'g')"
+_strip_sql = lambda c: _STRIP.replace("{c}", c)
+_UNIT = "page_id, document_id, unit_index, page, section, chapter, extraction_method, extraction_confidence"
+_NEWEST_PAGES = "SELECT * FROM loaded_pages QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY loaded_at DESC) = 1"
+_CLEANED_ONCE = _clean_sql(f"({_NEWEST_PAGES})", _UNIT, "t").replace("AS cleaned", "AS text")
+_CHUNKS_SQL = f"""WITH RECURSIVE units AS MATERIALIZED (SELECT *, length(cleaned) AS n FROM ({_clean_sql(f"({_CLEANED_ONCE})", _UNIT)}) WHERE cleaned <> ''),
+cut AS (SELECT page_id, cleaned, n, list_filter(list_transform(string_split(regexp_replace(cleaned, '([.!?]){{S}}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip_sql("x")}), lambda x: x <> '') AS s FROM units WHERE n > 1200),
+many AS MATERIALIZED (SELECT *, list_transform(range(0, len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda x: length(x) + 1)), 0)::BIGINT) AS total FROM cut WHERE len(s) > 1),
+walk AS (SELECT page_id, total, len(s) AS m, 0::BIGINT AS first, least(len(s) - 1, greatest(0, {_lengths_sql("<= 1201")} - 2))::BIGINT AS last FROM many
+UNION ALL SELECT page_id, total, m, first, least(m - 1, greatest(new, {_lengths_sql("<= 1201 + total[first + 1]")} - 2))::BIGINT FROM (
+  SELECT page_id, total, m, last + 1 AS new, least(last + 1, greatest(first, {_lengths_sql("< total[last + 2] - 201")}))::BIGINT AS first FROM walk WHERE last + 1 < m)),
+packed AS (SELECT page_id, cleaned, n, {_strip_sql("array_to_string(s[first + 1:last + 1], ' ')")} AS p, last, row_number() OVER w AS k, count(*) OVER (PARTITION BY page_id) AS pieces FROM walk JOIN many USING (page_id) WINDOW w AS (PARTITION BY page_id ORDER BY last)),
+placed AS (SELECT page_id, k, pieces, p, CASE WHEN k < pieces THEN greatest(strpos(cleaned, p) - 1, 0) WHEN strpos(reverse(cleaned), reverse(p)) > 0 THEN n - strpos(reverse(cleaned), reverse(p)) + 1 - length(p) ELSE greatest(n - length(p), 0) END AS start FROM packed),
+tails AS (SELECT *, start + length(p) AS stop, pieces > 1 AND any_value(length(p)) FILTER (WHERE k = pieces) OVER (PARTITION BY page_id) < 100 AS tiny, lead(p) OVER (PARTITION BY page_id ORDER BY k) AS next_p,
+  lead(start + length(p)) OVER (PARTITION BY page_id ORDER BY k) AS next_stop FROM placed),
+pieces AS (SELECT page_id, k, CASE WHEN tiny AND k = pieces - 1 THEN {_strip_sql("p || ' ' || next_p")} ELSE p END AS piece, start, CASE WHEN tiny AND k = pieces - 1 THEN next_stop ELSE stop END AS stop FROM tails WHERE NOT (tiny AND k = pieces)
+UNION ALL SELECT page_id, 0, cleaned, 0, n FROM units WHERE n <= 1200
+UNION ALL SELECT page_id, i, {_strip_sql("substr(cleaned, i * 1000 + 1, 1200)")}, i * 1000, least(i * 1000 + 1200, n) FROM (SELECT page_id, cleaned, n, unnest(range(0, ceil((n - 1200) / 1000.0)::BIGINT + 1)) AS i FROM cut WHERE len(s) < 2)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY unit_index, k) - 1 AS i FROM pieces JOIN units USING (page_id) WHERE piece <> '')
+SELECT document_id || '_chunk_' || lpad(i::VARCHAR, greatest(4, length(i::VARCHAR))::INT, '0') || '_' || sha256(piece)[1:6] AS chunk_id, document_id, piece AS text, length(piece)::INT AS char_count,
+len(list_filter(regexp_split_to_array(piece, '{{S}}+'), lambda w: w <> ''))::INT AS word_count, page::VARCHAR AS page, section, chapter, extraction_method, extraction_confidence, i::INT AS chunk_index, start::INT AS start_char, stop::INT AS end_char FROM numbered"""
+
+
+@query(_CHUNKS_SQL)
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All units of the files that are not chunked yet, cleaned and cut."""
-    return chunk_documents(_pages(spark, sf_dir))
+    return chunk_documents(_pages(spark, sf_dir)).withColumn("page", F.col("page").cast("string"))
 
 
-@query()
+_LINES = r"regexp_replace({c}, '\r\n?|[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g')"
+_HEADING = r"'^(#{1,6}){S}+(.+?){S}*$'"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, string_split({_LINES.replace("{c}", "text")}, chr(10)) AS l FROM documents WHERE source LIKE '%.md' AND text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM t),
+marked AS (SELECT *, length(regexp_extract(line, {_HEADING}, 1)) AS level, regexp_extract(line, {_HEADING}, 2) AS title FROM lines),
+parts AS (SELECT *, sum((level > 0)::INT) OVER w AS part, last_value(CASE WHEN level > 0 THEN title END IGNORE NULLS) OVER w AS section, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS chapter
+  FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+units AS (SELECT doc_id, part, 0 AS k, {_strip_sql("title")} AS text, section, chapter, 'markdown_heading' AS extraction_method FROM parts WHERE level > 0
+UNION ALL SELECT doc_id, part, 1, {_strip_sql("string_agg(line, chr(10) ORDER BY i)")}, any_value(section), any_value(chapter), 'markdown_text' FROM parts WHERE level = 0 GROUP BY doc_id, part)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, k) - 1)::INT AS unit_index, text, NULL::VARCHAR AS page, section, chapter, extraction_method, 1.0::DOUBLE AS extraction_confidence FROM units WHERE text <> ''""")
 def markdown_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.markdown_units(table(spark, sf_dir, "documents").filter("source LIKE '%.md' AND text IS NOT NULL"), "doc_id")
+    return units.markdown_units(table(spark, sf_dir, "documents").filter("source LIKE '%.md' AND text IS NOT NULL"), "doc_id").withColumn("page", F.col("page").cast("string"))
 
 
-@query()
+_BLANK = r"[\x09\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+
+
+def _text_units_sql(source: str) -> str:
+    """Paragraphs of the texts of ``source`` with the headings before them."""
+    lines = _LINES.replace("{c}", "replace(text, chr(0), '')")
+    return rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace({lines}, '{_BLANK}+\n', chr(10), 'g'), '{{S}}+$', '') AS t FROM {source}),
+b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\n{{S}}*\n'), lambda x: {_strip_sql("x")}), lambda x: x <> '') AS b FROM t),
+u AS (SELECT doc_id, unnest(b) AS text, generate_subscripts(b, 1) - 1 AS i FROM b),
+c AS (SELECT *, NOT contains(text, chr(10)) AND regexp_matches(text, '(?i)^(chapter|book|part|volume)\s+[\p{{L}}\p{{N}}_]+(?:\s*[:-]\s*.+)?$') AS chap, NOT contains(text, chr(10)) AND (regexp_matches(text, '(?i)^(section|scene|act)\s+[\p{{L}}\p{{N}}_]+(?:\s*[:-]\s*.+)?$')
+  OR (length(text) BETWEEN 3 AND 100 AND NOT regexp_matches(text, '[.!?,;]$') AND regexp_matches(text, '\p{{L}}') AND NOT regexp_matches(text, '[\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]'))) AS sect FROM u)
+SELECT doc_id, i::INT AS unit_index, text, NULL::VARCHAR AS page, last_value(CASE WHEN chap OR sect THEN text END IGNORE NULLS) OVER w AS section, last_value(CASE WHEN chap THEN text END IGNORE NULLS) OVER w AS chapter,
+CASE WHEN chap OR sect THEN 'text_heading' ELSE 'text_paragraph' END AS extraction_method, CASE WHEN chap THEN 0.95 WHEN sect THEN 0.85 ELSE 1.0 END::DOUBLE AS extraction_confidence FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
+
+@query(_text_units_sql("documents WHERE source LIKE '%.txt' AND text IS NOT NULL"))
 def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.text_units(table(spark, sf_dir, "documents").filter("source LIKE '%.txt' AND text IS NOT NULL"), "doc_id")
+    return units.text_units(table(spark, sf_dir, "documents").filter("source LIKE '%.txt' AND text IS NOT NULL"), "doc_id").withColumn("page", F.col("page").cast("string"))
 
 
 @query(r"""SELECT page_id, loaded_at, CASE WHEN extraction_method = 'pdf_text_failed' THEN 'pdf_text_failed' WHEN n < 20 THEN 'pdf_text_low_content' ELSE 'pdf_text' END AS method,
@@ -589,14 +644,90 @@ def text_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(embed(items, "qid", "passage", is_query=True), engine.vectors(), 10, "qid", "chunk_id").withColumns({c: F.round(c, 6) for c in ("score", "distance")})
 
 
+@query(f"""WITH {_EXPANDED} SELECT qid, array_to_string(list_concat([question], list_transform(CASE WHEN len(list_filter(neighbours, lambda n: regexp_matches(n, '{"|".join(retrieval.EXPLORATORY_BODY_WORDS)}'))) > 0
+  THEN list_filter(neighbours, lambda n: regexp_matches(n, '{"|".join(retrieval.EXPLORATORY_BODY_WORDS)}')) ELSE neighbours[1:5] END, lambda n: n || ' ' || question || ' {retrieval.EXPANSION_WORDS}')), chr(10)) AS queries FROM chosen""")
+def exploratory_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wider expansion of every held-out question."""
+    engine, asked = _engine(spark, sf_dir)
+    rows = engine.queries(asked).filter("query_ord = 0")
+    return rows.select("qid", F.array_join(retrieval.explored_queries(F.col("question"), F.col("neighbours")), "\n").alias("queries"))
+
+
+@query(f"""WITH {_CHUNKS}, asked AS (SELECT qid, trim(question) AS question FROM eval_items WHERE trim(question) <> ''), query_v AS MATERIALIZED {_vector("asked", "qid", "question")}, hits AS {_nearest("query_v", "qid")},
+context AS (SELECT qid, string_agg('[E' || rank || '] chunk_id=' || chunk_id || '; source=' || coalesce(nullif(file_name, ''), 'unknown') || coalesce(', page ' || nullif(page, 0), '') || '; source_type=' || coalesce(nullif(source_type, ''), 'unknown')
+  || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN one USING (chunk_id) WHERE rank <= 8 GROUP BY 1)
+SELECT qid, 'Answer the question from the evidence below. Mark each statement with its evidence, like [E1]. Where sources disagree, say so and name both.' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || context || chr(10) AS prompt
+FROM asked JOIN context USING (qid)""")
+def cited_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt with marked evidence, the eight nearest chunks, for every held-out question."""
+    engine, asked = _engine(spark, sf_dir)
+    asked = asked.select("qid", F.trim("question").alias("question")).filter("question <> ''")
+    hits = nearest(embed(asked, "qid", "question", is_query=True), engine.vectors(), engine.config.final_top_k, "qid", "chunk_id")
+    context = answers.cited_context(hits.join(engine.chunks.select("chunk_id", "file_name", "page", "source_type", "text"), "chunk_id"))
+    return asked.join(context, "qid").select("qid", answers.cited_prompt(F.col("question"), F.col("context")).alias("prompt"))
+
+
+@query(f"""SELECT chunk_id, md5('List the names in the passage as JSON {{"entities": [{{"name": ..., "type": PERSON|FACTION|EVENT|PLACE|ARTIFACT|OBJECT|OTHER}}]}}.' || chr(10) || chr(10) || 'Passage:' || chr(10) || text) AS names,
+md5('List what the passage states as JSON {{"relations": [{{"subject": ..., "predicate": UPPER_SNAKE_CASE, "object": ..., "evidence": ...}}]}}.' || chr(10) || chr(10) || 'Passage:' || chr(10) || text) AS relations FROM {_ONE_EACH}""")
+def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked about each chunk."""
+    of_names, of_relations = answers.extraction_prompts(F.col("text"))
+    return table(spark, sf_dir, "text_chunks").dropDuplicates(["chunk_id"]).select("chunk_id", F.md5(of_names).alias("names"), F.md5(of_relations).alias("relations"))
+
+
+# Files
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_text_units_sql("documents WHERE source LIKE '%.txt' AND text IS NOT NULL").replace("page, last_value", "page, 'unknown' AS source_type, last_value"))
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain text documents written as files, one each, found again and read by their extension."""
+    root = _folder(spark, "corpus")
+    table(spark, sf_dir, "documents").filter("source LIKE '%.txt' AND text IS NOT NULL").select("doc_id", "text").write.partitionBy("doc_id").text(root)
+    documents, found = units.load_corpus(spark, root)
+    key = F.regexp_extract("file_path", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id")
+    return found.join(documents.filter("ingestion_error IS NULL").select("document_id", key, "source_type"), "document_id").drop("document_id").withColumn("page", F.col("page").cast("string"))
+
+
+@query(f"""SELECT chunk_id, nullif(document_id, '') AS document_id, md5(text) AS text, file_name, source_type, page::VARCHAR AS page, section, chapter, chunk_index::VARCHAR AS chunk_index,
+start_char::VARCHAR AS start_char, end_char::VARCHAR AS end_char, extraction_method, extraction_confidence FROM {_ONE_EACH} WHERE chunk_id <> '' AND text <> ''""")
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks written as JSON lists, and read back flat."""
+    root = _folder(spark, "chunks")
+    sinks.write_chunk_files(table(spark, sf_dir, "text_chunks").dropDuplicates(["chunk_id"]).drop("extracted_at", "loaded_at"), root)
+    rows = read_chunks(spark, root).withColumn("text", F.md5("text")).withColumns({c: F.col(c).cast("string") for c in ("page", "chunk_index", "start_char", "end_char")})
+    return rows.select("chunk_id", "document_id", "text", "file_name", "source_type", "page", "section", "chapter", "chunk_index", "start_char", "end_char", "extraction_method", "extraction_confidence")
+
+
+@query("SELECT claim_id, subject, predicate, object, evidence, chunk_id FROM claims")
+def claim_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims written as JSON, and read back."""
+    root = _folder(spark, "claims")
+    rows = table(spark, sf_dir, "claims").select("claim_id", "subject", "predicate", "object", "evidence", "chunk_id")
+    sinks.write_json(rows, root)
+    return spark.read.schema(rows.schema).json(root)
+
+
+@query(f"SELECT page_id, document_id, md5(text) AS text, loaded_at FROM ({_NEWEST_PAGES})")
+def stage_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest pages handed on as a stage's table."""
+    root = _folder(spark, "stage")
+    sinks.write_stage(_pages(spark, sf_dir), root)
+    return spark.read.parquet(root).select("page_id", "document_id", F.md5("text").alias("text"), "loaded_at")
+
+
 # Rows that arrive over time
 
 
 @query("""SELECT claim_id, subject, predicate, object, loaded_at FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY loaded_at DESC) = 1""")
 def streamed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims folded in as a stream: of repeated and late rows of one id the last stays."""
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    root = _folder(spark, "stream")
     schema = table(spark, sf_dir, "claims").schema
     stream_upsert(read_stream(spark, sf_dir, "claims", schema), f"{root}/table", f"{root}/progress", ["claim_id"], "loaded_at")
     return read_upserts(spark, f"{root}/table", ["claim_id"], "loaded_at").select("claim_id", "subject", "predicate", "object", "loaded_at")

@@ -23,6 +23,14 @@ def chunk_export(chunks: DataFrame, flat: bool = False) -> DataFrame:
     return chunks.select("chunk_id", F.to_json(body).alias("chunk"))
 
 
+def write_chunk_files(chunks: DataFrame, path: str, per_file: int = 1000) -> None:
+    """JSON files that hold lists of about ``per_file`` chunks each, which ``read_chunks`` reads."""
+    rows = chunk_export(chunks)
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(rows.count() // per_file + 1))
+    lists = rows.groupBy(block.alias("block")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("chunk"), ","), F.lit("]")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def scalar_metadata(chunks: DataFrame) -> DataFrame:
     """(chunk_id, metadata): the scalar, non-null provenance of each chunk as JSON."""
     scalar = [f.name for f in chunks.schema if f.dataType.simpleString().split("(")[0] in ("string", "int", "bigint", "double", "float", "boolean") and f.name not in ("text", "chunk_id")]

@@ -88,3 +88,14 @@ def test_chunk_files_and_document_texts(spark, tmp_path):
     assert sorted((r.chunk_id, r.text, r.page, r.title) for r in read_chunks(spark, str(tmp_path / "chunks.json")).collect()) == [("a", "from content", None, None), ("b", "t", 2, "T")]
     units_ = spark.createDataFrame([("d", 1, " two "), ("d", 0, "one"), ("d", 2, None), ("e", 0, " ")], "document_id string, unit_index int, text string")
     assert sorted(map(tuple, document_texts(units_).collect())) == [("d", "one\n\ntwo", 3, False), ("e", "", 1, True)]
+
+
+def test_chunk_files_hold_lists_that_are_read_back(spark, tmp_path):
+    from lorequarry.sources.chunks import read_chunks
+    from lorequarry.sources.sinks import write_chunk_files
+
+    rows = [(f"c{i}", "d", f'text "{i}"\nwith a line', 1) for i in range(25)] + [("", "d", "no id", 1), ("empty", "d", "", 1)]
+    write_chunk_files(spark.createDataFrame(rows, "chunk_id string, document_id string, text string, page int"), str(tmp_path / "chunks"), per_file=10)
+    found = {r.chunk_id: (r.document_id, r.text, r.page) for r in read_chunks(spark, str(tmp_path / "chunks")).collect()}
+    assert found == {f"c{i}": ("d", f'text "{i}"\nwith a line', 1) for i in range(25)}
+    assert 1 < len(list((tmp_path / "chunks").glob("part-*"))) <= 4
