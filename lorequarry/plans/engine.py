@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorequarry.config import EngineConfig
 from lorequarry.functions.entities import analysed_entities, seed_entity
@@ -150,7 +151,8 @@ class Engine:
             seeds = cut_lineage(wanted.join(found, "name").select("qid", F.col("entity").alias("seed")).distinct())
             paths = graph.trails(edges, seeds.select("seed"), max_hops or c.max_hops, c.path_limit)
             facts = graph.graph_evidence(graph.with_relationships(paths, edges)).join(seeds, "seed")
-            facts = facts.select("qid", (F.lit(1_000_000).cast("long") + F.col("ord")).alias("ord"), F.lit("graph").alias("kind"), "text", "chunk_id", "document_id", "source_type", "predicate", "score")
+            place = F.row_number().over(Window.partitionBy("qid").orderBy("seed", "ord"))  # behind all hits, in one order for all seeds
+            facts = facts.select("qid", (F.lit(1_000_000).cast("long") + place).alias("ord"), F.lit("graph").alias("kind"), "text", "chunk_id", "document_id", "source_type", "predicate", "score")
             evidence = vector.unionByName(facts)
         ranked = retrieval.rank_evidence(retrieval.merge_evidence(evidence), final_k or c.final_top_k, table=c.authority)
         return ranked.join(self.chunks.select("chunk_id", "file_name", "page", "section"), "chunk_id", "left")

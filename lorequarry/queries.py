@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorequarry.config import RANK_AUTHORITY
 from lorequarry.functions import entities as names
 from lorequarry.functions import text
 from lorequarry.operators import answers, graph, metrics, retrieval
@@ -611,18 +612,43 @@ def ask_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.ask_batch(asked)
 
 
-@query()
+_STEP = """(SELECT seed, list_append(nodes, other) AS nodes, list_append(ids, edge_id) AS ids, other AS tip, have FROM {before} JOIN ways ON node = tip
+  WHERE have < 50 AND NOT list_contains(ids, edge_id) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY list_append(ids, edge_id), list_append(nodes, other)) <= 50 - have)"""
+_step = lambda before: f"(SELECT * REPLACE (have + count(*) OVER (PARTITION BY seed) AS have) FROM {_STEP.replace('{before}', before)})"
+_AUTHORITY = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RANK_AUTHORITY.items()) + f" ELSE {RANK_AUTHORITY['unknown']} END::DOUBLE"
+_RANKED = f"""{_ASKED}, {_CHUNKS}, questions AS (SELECT qid, question, analysed FROM seeds_of WHERE question <> ''),
+query_v AS MATERIALIZED {_vector("questions", "qid", "question")}, hits AS {_nearest("query_v", "qid")},
+edges AS MATERIALIZED (SELECT subject, predicate, object, chunk_id, evidence, document_id, source_type, concat_ws(chr(1), subject, predicate, object, chunk_id) AS edge_id FROM claims
+  WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY subject, predicate, object, chunk_id ORDER BY loaded_at DESC) = 1),
+ways AS MATERIALIZED (SELECT subject AS node, object AS other, edge_id FROM edges UNION ALL SELECT object, subject, edge_id FROM edges WHERE subject <> object),
+wanted AS (SELECT DISTINCT qid, unnest(analysed) AS name FROM questions), graph_names AS (SELECT DISTINCT unnest([subject, object]) AS entity FROM edges),
+matched AS (SELECT name, entity FROM (SELECT DISTINCT name FROM wanted WHERE name <> '') JOIN graph_names ON entity <> '' AND (contains(lower(entity), lower(name)) OR contains(lower(name), lower(entity)))
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY entity) <= 20),
+seeds AS MATERIALIZED (SELECT DISTINCT qid, entity AS seed FROM wanted JOIN matched USING (name)),
+hop0 AS (SELECT DISTINCT seed, [seed] AS nodes, []::VARCHAR[] AS ids, seed AS tip, 0::BIGINT AS have FROM seeds),
+hop1 AS MATERIALIZED {_step("hop0")}, hop2 AS MATERIALIZED {_step("hop1")}, hop3 AS MATERIALIZED {_step("hop2")},
+steps AS (SELECT seed, nodes, ids, len(ids) AS hops, unnest(ids) AS edge_id, generate_subscripts(ids, 1) AS i FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2 UNION ALL SELECT * FROM hop3)),
+facts AS (SELECT qid, 1000000 + row_number() OVER (PARTITION BY qid ORDER BY seed, hops, ids, nodes, i) AS ord, 'graph' AS kind, evidence AS text, chunk_id, document_id, source_type, predicate, 1.0::DOUBLE / hops AS score
+  FROM seeds JOIN steps USING (seed) JOIN edges USING (edge_id) WHERE evidence <> ''),
+found AS (SELECT qid, rank - 1 AS ord, 'vector' AS kind, text, chunk_id, document_id, source_type, NULL::VARCHAR AS predicate, score FROM hits JOIN one USING (chunk_id) UNION ALL SELECT * FROM facts),
+merged AS (SELECT * REPLACE (min(ord) OVER w AS ord), row_number() OVER (w ORDER BY score DESC, ord) AS nth FROM found WINDOW w AS (PARTITION BY qid, coalesce(nullif(chunk_id, ''), text))),
+scored AS (SELECT *, {_AUTHORITY} AS authority_score, round(0.75 * score + 0.25 * {_AUTHORITY}, 9) AS final_score FROM merged WHERE nth = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, ord) AS place FROM scored QUALIFY place <= 8)"""
+
+
+@query(f"""WITH {_RANKED} SELECT qid, place::INT AS rank, ord, kind, r.text, r.chunk_id, r.document_id, r.source_type, predicate, round(score, 6) AS score, authority_score, round(final_score, 6) AS final_score, file_name, page::VARCHAR AS page, section
+FROM ranked r LEFT JOIN one o ON o.chunk_id = r.chunk_id""")
 def ask_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of vectors and of trails in the claim graph, ranked by score and authority."""
     engine, asked = _engine(spark, sf_dir)
-    return engine.retrieve_modular(asked)
+    return engine.retrieve_modular(asked).withColumns({"score": F.round("score", 6), "final_score": F.round("final_score", 6), "page": F.col("page").cast("string")})
 
 
-@query()
+@query(f"""WITH {_RANKED} SELECT qid, 'E' || place AS marker, nullif(r.chunk_id, '') AS chunk_id, nullif(r.document_id, '') AS document_id, nullif(file_name, '') AS file_name, nullif(page, 0)::VARCHAR AS page, nullif(section, '') AS section,
+nullif(r.source_type, '') AS source_type FROM ranked r LEFT JOIN one o ON o.chunk_id = r.chunk_id""")
 def ask_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, asked = _engine(spark, sf_dir)
-    return answers.citations(engine.retrieve_modular(asked))
-
+    return answers.citations(engine.retrieve_modular(asked)).withColumn("page", F.col("page").cast("string"))
 
 @query(f"""WITH {_CHUNKS}, asked AS (SELECT qid, question FROM eval_items), query_v AS MATERIALIZED {_vector("asked", "qid", "question")}, hits AS {_nearest("query_v", "qid")},
 matched AS (SELECT chunk_id, list(question ORDER BY qid, question) AS all_questions, min(qid) AS first_question, arg_min(rank, (qid, rank)) AS first_rank FROM hits JOIN asked USING (qid) GROUP BY 1)
