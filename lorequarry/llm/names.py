@@ -51,6 +51,10 @@ FIXED = {*TITLES, *BODY_WORDS, *PLACE_WORDS, *GENERATIONS, *GIVEN, *NICKNAMES}
 DIGITS = str.maketrans("01358@$", "oiebsas".replace("i", "l"))
 #: A token may be a misspelling of one in at least TIMES as many names, or OFTEN as many if it stands in more than RARE names.
 RARE, TIMES, OFTEN = 3, 2.5, 15
+#: Queries of a shard that one task walks; a shard with more of them stands in as many cells as it takes.
+SHARD_QUERIES = 20_000
+#: A token is a body's word if it stands in 'X of Y' with at least so many Y.
+BODY_NAMES = 5
 #: A token is a title if it stands before at least so many different names that also stand without it, and before others no more often.
 TITLED_NAMES = 5
 
@@ -159,25 +163,30 @@ def trie_join(queries: DataFrame, words: DataFrame) -> DataFrame:
     """(query, word, distance): for each of ``queries.query`` the ``words.word`` within the edits allowed for its length.
 
     Shards are spread by Spark; a task takes its shards one after another, first the words of a shard, then its queries in a stream.
+    The queries of a shard with very many are dealt to cells, each of which holds the words of the shard.
     """
     index = words.select(F.explode(F.udf(index_shards, T.ArrayType(T.StringType()), useArrow=True)("word")).alias("shard"), F.lit(0).alias("side"), F.col("word").alias("token"))
     asked = queries.select(F.explode(F.udf(query_shards, T.ArrayType(T.StringType()), useArrow=True)("query")).alias("shard"), F.lit(1).alias("side"), F.col("query").alias("token"))
-    rows = index.unionByName(asked.join(index.select("shard").distinct(), "shard", "left_semi"))
+    asked = asked.join(index.select("shard").distinct(), "shard", "left_semi")
+    hot = cut_lineage(asked.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_QUERIES).select("shard", F.ceil(F.col("n") / SHARD_QUERIES).cast("int").alias("cells")))
+    cells = F.coalesce("cells", F.lit(1))
+    index = index.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"), "side", "token")
+    rows = index.unionByName(asked.join(hot, "shard", "left").select("shard", F.pmod(F.xxhash64("token"), cells).cast("int").alias("cell"), "side", "token"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, trie = None, Trie()
         for batch in batches:
             out = []
-            for key, side, token in zip(batch.shard, batch.side, batch.token):
-                if key != shard:
-                    shard, trie = key, Trie()
+            for key, cell, side, token in zip(batch.shard, batch.cell, batch.side, batch.token):
+                if (key, cell) != shard:
+                    shard, trie = (key, cell), Trie()
                 if side == 0:
                     trie.add(token)
                 elif trie.root:
                     out += [(token, w, d) for w, d in trie.near(token, 2) if w != token and d <= min(allowed(len(w)), allowed(len(token) + 1))]
             yield pd.DataFrame(out, columns=["query", "word", "distance"])
 
-    found = rows.repartition(partitions(queries.sparkSession), "shard").sortWithinPartitions("shard", "side").mapInPandas(run, "query string, word string, distance int")
+    found = rows.repartition(partitions(queries.sparkSession), "shard", "cell").sortWithinPartitions("shard", "cell", "side").mapInPandas(run, "query string, word string, distance int")
     return found.dropDuplicates(["query", "word"])
 
 

@@ -78,3 +78,14 @@ def test_titles_are_learned_and_long_names_kept(spark):
     rows = [(f"Quaestor Edward {f}", f"Edward {f}") for f in families] + [("The Ancient Guild of the Nine Silver Lamps of Old Harrow Vale and Sons", "THE ANCIENT GUILD OF THE NINE SILVER LAMPS OF OLD HARROW VALE AND SONS"), ("Anna Maria Roe", "Roe Anna Maria")]
     got = {tuple(r) for r in spelling_pairs(spark.createDataFrame(rows, "subject string, object string")).collect()}
     assert {(f"Edward {f}", f"Quaestor Edward {f}") for f in families} <= got and ("Anna Maria Roe", "Roe Anna Maria") in got
+
+
+def test_shards_with_many_queries_are_cut_into_cells(spark, monkeypatch):
+    from lorequarry.llm import names
+
+    words = ["edward", "edwina", "margaret", "brambleholt"]
+    asked = [w[:i] + c + w[i + 1 :] for w in words for i in range(len(w)) for c in "xyz"]
+    tables = [spark.createDataFrame([(w,) for w in rows], f"{c} string") for rows, c in ((asked, "query"), (words, "word"))]
+    whole = {tuple(r) for r in names.trie_join(*tables).collect()}
+    monkeypatch.setattr(names, "SHARD_QUERIES", 3)
+    assert {tuple(r) for r in names.trie_join(*tables).collect()} == whole and len(whole) >= len(asked)
