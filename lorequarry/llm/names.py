@@ -202,11 +202,12 @@ def body_word(token: str, first: bool) -> str:
     return near[0] if near and len({BODY_WORDS[w] for w in near}) == 1 else token
 
 
-def parsed(tokens: list[str], given: list[bool], titles: frozenset[str] = frozenset()) -> tuple[str, str, str, str]:
+def parsed(tokens: list[str], given: list[bool], titles: frozenset[str] = frozenset(), bodies: dict[str, str] | None = None) -> tuple[str, str, str, str]:
     """(kind, family or body name, given name as written, generation) of matched tokens; kind '' for places, amounts and others.
 
-    A person's name of other than two tokens, besides ``titles`` and those of the fixed list, is of kind 'name' and goes by its sorted tokens."""
-    none = ("", "", "", "")
+    A person's name of other than two tokens, besides ``titles`` and those of the fixed list, is of kind 'name' and goes by its sorted tokens.
+    ``bodies``: learned words of bodies and their short forms, and what they stand for."""
+    none, bodies = ("", "", "", ""), bodies or {}
     while len(tokens) > 2 and tokens[0] == "the":
         tokens, given = tokens[1:], given[1:]
     if len(tokens) < 2 or tokens[0] in NUMBERS or tokens[0].isdigit():
@@ -224,7 +225,11 @@ def parsed(tokens: list[str], given: list[bool], titles: frozenset[str] = frozen
     if (tokens[0] in PLACE_WORDS or tokens[-1] in PLACE_WORDS) and not (len(tokens) == 2 and tokens[0] in GIVEN):
         return none
     if len(core) == 2 and len(tokens) == 3 and tokens[1] == "of":
-        return "body " + tokens[0], tokens[2], "", ""
+        return "body " + bodies.get(tokens[0], tokens[0]), tokens[2], "", ""
+    if len(tokens) == 2 and (tokens[0] in bodies) != (tokens[1] in bodies):  # the same without 'of', in either order
+        word, other = (0, 1) if tokens[0] in bodies else (1, 0)
+        if not given[other]:
+            return "body " + bodies[tokens[word]], tokens[other], "", ""
     generation = next((GENERATIONS[t] for t, _ in core if t in GENERATIONS), "")
     person = [(t, g) for t, g in core if t not in GENERATIONS]
     if len(person) > 2:
@@ -239,6 +244,24 @@ def parsed(tokens: list[str], given: list[bool], titles: frozenset[str] = frozen
     return "person", b, a, generation
 
 
+def body_words(full: DataFrame) -> DataFrame:
+    """(matched, body): words of bodies in the corpus, learned from names 'X of Y' (``full.m``, tokens), and what they stand for.
+
+    X is a body's word if it stands before many Y. A shorter X is its short form if it begins alike, its letters stand in the
+    word in their order, and at least half of its Y are Y of the word; of several words that with the most of them.
+    """
+    of = full.filter((F.size("m") == 3) & (F.col("m")[1] == "of") & ~F.col("m")[0].isin(*sorted(FIXED)) & F.col("m")[0].rlike(r"^\p{L}{2,}$"))
+    of = cut_lineage(of.select(F.col("m")[0].alias("x"), F.col("m")[2].alias("y")).distinct())
+    counted = of.groupBy("x").agg(F.count("*").alias("n"))
+    words = counted.filter(F.col("n") >= BODY_NAMES).select(F.col("x").alias("body"))
+    long = of.join(words, of["x"] == F.col("body"), "left_semi").select(F.col("x").alias("body"), "y", F.substring("x", 1, 1).alias("initial"))
+    shared = of.withColumn("initial", F.substring("x", 1, 1)).join(long, ["y", "initial"]).filter((F.length("x") < F.length("body")) & F.rlike("body", F.concat(F.lit("^"), F.regexp_replace("x", "(.)", "$1.*"))))
+    shared = shared.groupBy("x", "body").agg(F.count("*").alias("both")).join(counted, "x").filter(2 * F.col("both") >= F.col("n"))
+    short = shared.groupBy("x").agg(F.min(F.struct(-F.col("both"), "body"))["body"].alias("body"))
+    own = words.join(short, words["body"] == short["x"], "left_anti").select(F.col("body").alias("matched"), "body")
+    return short.select(F.col("x").alias("matched"), "body").unionByName(own)
+
+
 def spellings(df: DataFrame, name_cols: tuple[str, ...] = ("subject", "object")) -> DataFrame:
     """(name, entity): every name of a person or body in ``name_cols``, exactly as it stands, with the key of its entity.
 
@@ -288,14 +311,15 @@ def spellings(df: DataFrame, name_cols: tuple[str, ...] = ("subject", "object"))
     before = three.join(two, "rest", "left").groupBy("title").agg(F.count("*").alias("n"), F.count("alone").alias("alone"))
     learned = before.filter((F.col("alone") >= TITLED_NAMES) & (2 * F.col("alone") >= F.col("n")) & ~F.col("title").isin(*sorted(FIXED))).select(F.col("title").alias("matched"), F.lit(True).alias("title"))
     matches = matches.join(learned, "matched", "left").withColumn("title", F.coalesce("title", F.lit(False)))
-    joined = token.select("name", "place", "token").join(matches, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "matched", "given", "token", "title"))).alias("t"))
+    matches = matches.join(body_words(full), "matched", "left")
+    joined = token.select("name", "place", "token").join(matches, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "matched", "given", "token", "title", "body"))).alias("t"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [parsed(list(m), list(g), frozenset(x for x, y in zip(m, t) if y)) for m, g, t in zip(batch.matched, batch.given, batch.title)]
+            out = [parsed(list(m), list(g), frozenset(x for x, y in zip(m, t) if y), {x: y for x, y in zip(m, b) if y}) for m, g, t, b in zip(batch.matched, batch.given, batch.title, batch.body)]
             yield pd.DataFrame({"name": batch.name, **{c: [o[i] for o in out] for i, c in enumerate(("kind", "family", "written", "generation"))}})
 
-    people = joined.select("name", F.col("t.matched").alias("matched"), F.col("t.given").alias("given"), F.col("t.title").alias("title")).mapInPandas(parse, "name string, kind string, family string, written string, generation string")
+    people = joined.select("name", F.col("t.matched").alias("matched"), F.col("t.given").alias("given"), F.col("t.title").alias("title"), F.col("t.body").alias("body")).mapInPandas(parse, "name string, kind string, family string, written string, generation string")
     people = cut_lineage(people.filter("kind <> ''"))
 
     bodies = people.filter("kind <> 'person'").select("name", F.concat_ws("|", "kind", "family", "generation").alias("entity"))

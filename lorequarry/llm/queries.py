@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorequarry.llm.leakage import leaked_items, without_leaks
 from lorequarry.llm.names import spelling_pairs, spellings
@@ -14,8 +15,8 @@ from lorequarry.llm.pairing import item_pairs
 from lorequarry.llm.scans import page_damage, repaired_pages
 from lorequarry.llm.splitting import split_oversized
 from lorequarry.llm.subjects import document_areas
-from lorequarry.llm.tokenizing import encode_corpus
-from lorequarry.session import table
+from lorequarry.llm.tokenizing import decode_corpus, encode_corpus
+from lorequarry.session import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,6 +68,19 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "text_chunks"))
 
 
+@query
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text that was cut: where its pieces begin and end, and how many of them are too long, leave a gap, or repeat too much."""
+    pieces = split_oversized(table(spark, sf_dir, "text_chunks"))
+    before = F.lag("end_char").over(Window.partitionBy("chunk_id", "section", "text_length").orderBy("piece_index"))
+    texts = table(spark, sf_dir, "text_chunks").select("chunk_id", "section", "text").distinct()
+    held = pieces.join(texts, pieces["chunk_id"].eqNullSafe(texts["chunk_id"]) & pieces["section"].eqNullSafe(texts["section"])).select(pieces["*"], "text", F.length("text").alias("text_length"))
+    held = held.filter(F.col("piece") == F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).withColumn("before", before)
+    wrong = (F.length("piece") > 1200) | (F.col("start_char") > F.col("before")) | (F.col("before") - F.col("start_char") > 200)
+    return held.groupBy("chunk_id").agg(F.min("start_char").alias("first"), F.max("end_char").alias("last"), F.count_if(wrong).alias("wrong"))
+
+
+SQL["p4_cover"] = "SELECT chunk_id, 0 AS first, max(length(text))::INT AS last, 0::BIGINT AS wrong FROM text_chunks WHERE length(text) > 1200 GROUP BY 1"
 SQL["p4_found"] = "SELECT DISTINCT chunk_id FROM text_chunks WHERE length(text) > 1200"
 
 
@@ -101,6 +115,18 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+@query
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts back from their ids, with the number of ids that do not begin where the id before them ends."""
+    ids = encode_corpus(table(spark, sf_dir, "documents"), with_offsets=True)
+    gaps = F.size(F.filter(F.transform("starts", lambda x, i: F.when(i > 0, x <= F.get("starts", i - 1)).otherwise(x != 0)), lambda x: x))
+    marks = cut_lineage(ids.select("doc_id", "ids", gaps.cast("long").alias("gaps")))
+    return decode_corpus(marks).join(marks.select("doc_id", "gaps"), "doc_id").select("doc_id", F.md5("text").alias("text"), "gaps")
+
+
+SQL["p6_decoded"] = "SELECT doc_id, md5(coalesce(text, '')) AS text, 0::BIGINT AS gaps FROM documents"
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))

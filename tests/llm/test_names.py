@@ -89,3 +89,11 @@ def test_shards_with_many_queries_are_cut_into_cells(spark, monkeypatch):
     whole = {tuple(r) for r in names.trie_join(*tables).collect()}
     monkeypatch.setattr(names, "SHARD_QUERIES", 3)
     assert {tuple(r) for r in names.trie_join(*tables).collect()} == whole and len(whole) >= len(asked)
+
+
+def test_words_of_bodies_are_learned(spark):
+    families = ["Brambleholt", "Craysthorne", "Dunwickery", "Elmsgrave", "Farrowdene", "Gorsebeck"]
+    rows = [(f"Sodality of {f}", f"Sdlty. of {f}") for f in families] + [(f"{f} Sodality", f"Edward {f}") for f in families]
+    got = {tuple(r) for r in spelling_pairs(spark.createDataFrame(rows, "subject string, object string")).collect()}
+    want = {p for f in families for p in ((f"Sdlty. of {f}", f"Sodality of {f}"), tuple(sorted((f"{f} Sodality", f"Sodality of {f}"))), tuple(sorted((f"{f} Sodality", f"Sdlty. of {f}"))))}
+    assert got == want
