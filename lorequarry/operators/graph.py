@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,29 +43,113 @@ def graph_counters(entities: DataFrame) -> DataFrame:
     return entities.agg(F.coalesce(F.sum(n), F.lit(0)).alias("mentions"), F.coalesce(F.sum(F.floor(n * (n - 1) / 2)), F.lit(0)).cast("long").alias("connections"))
 
 
-def _grams(c: Column, every: bool) -> Column:
-    """Character trigrams of a lower-cased string (itself, if shorter): all parts up to three characters long, or the one of least hash."""
-    n = F.length(c)
-    of = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    if every:
-        return F.array_distinct(F.concat(of(3), of(2), of(1)))
-    three = F.array_sort(F.transform(of(3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    return F.when(n >= 3, F.get(three, F.lit(0))["g"]).otherwise(c)
+#: Sizes of the prefixes by which strings meet the strings that contain them.
+PREFIX_SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 24, 29, 35, 42, 50, 60)
+#: Parts in which bits of keys are put together.
+KEY_BLOCKS = 64
+#: Chunks that are searched before all others.
+FIRST_CHUNKS = 60
+
+
+def _part_hashes(strings: list[str], prefix: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(string, key): hashes of all parts that have one of the sizes or, ``prefix``, of the longest such prefix of each string."""
+    length = np.array([len(s) for s in strings], dtype=np.int64)
+    end = np.cumsum(length)
+    of = np.repeat(np.arange(len(strings)), length)
+    here = np.arange(len(of))
+    left = end[of] - here
+    longest = np.array([0, *PREFIX_SIZES])[np.searchsorted(PREFIX_SIZES, length, side="right")][of]
+    first = here == (end - length)[of]
+    one = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    one = (one + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    one ^= one >> np.uint64(29)
+    at, keys, sized, size = [], [], one, 1
+    for n in PREFIX_SIZES:
+        while size < n:  # the hash of a window goes on by one character
+            sized = sized * np.uint64(0x100000001B3)
+            sized[: max(0, len(sized) - size)] += one[size:]
+            size += 1
+        chosen = np.flatnonzero(first & (longest == n) if prefix else left >= n)
+        at.append(of[chosen])
+        mixed = (sized[chosen] + np.uint64(n)) * np.uint64(0x94D049BB133111EB)
+        keys.append(((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return np.concatenate(at), np.concatenate(keys)
+
+
+def _hashed(strings: DataFrame, prefix: bool, known: Broadcast | None = None) -> DataFrame:
+    """(id, key) of (id, s); only of keys whose bit is set, if ``known`` has a bit for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                at, keys = _part_hashes(part.column("s").to_pylist(), prefix)
+                if known is not None:
+                    bits = known.value
+                    slot = keys.view(np.uint32) >> np.uint32(32 - (8 * len(bits)).bit_length() + 1)
+                    some = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    at, keys = at[some], keys[some]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(keys)], names=["id", "key"])
+
+    return strings.mapInArrow(run, "id long, key int")
+
+
+def _key_bits(keys: DataFrame, rows: int) -> np.ndarray:
+    """A bit for each key by its first bits, some 200 times as many as there are rows and 2^29 (64 MB) at most; blocks are put together in Spark."""
+    log = min(max(rows.bit_length() + 7, 16), 29)
+    per = (1 << log) // 8 // KEY_BLOCKS
+
+    def blocks_of(bits: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bits.keys(), pa.int32()), pa.array([v.tobytes() for v in bits.values()], pa.binary())], names=["block", "bits"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = np.unique(batch.column("key").to_numpy().view(np.uint32) >> np.uint32(32 - log)).astype(np.int64)
+            for block in np.unique(slot // (8 * per)).tolist():
+                own = slot[slot // (8 * per) == block] - block * 8 * per
+                np.bitwise_or.at(out.setdefault(block, np.zeros(per, dtype=np.uint8)), own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        yield blocks_of(out)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                out[block] = out.get(block, np.zeros(per, dtype=np.uint8)) | np.frombuffer(bits, dtype=np.uint8)
+        yield blocks_of(out)
+
+    bits = np.zeros((KEY_BLOCKS, per), dtype=np.uint8)
+    for row in keys.select("key").mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").toLocalIterator():
+        bits[row.block] = np.frombuffer(row.bits, dtype=np.uint8)
+    return bits.reshape(-1)
+
+
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long) of two tables (id, s) of distinct strings, the former contained in the latter. Only numbers meet; strings come back to what has met.
+
+    Of the many parts, those that are no prefix of a short string stay where they are but for one in 100. Plans take parts for as small
+    as the strings they are of, and would broadcast them; hence the hint.
+    """
+    keys = _hashed(short, True)
+    known = short.sparkSession.sparkContext.broadcast(_key_bits(keys, short.count()))
+    met = cut_lineage(keys.withColumnRenamed("id", "short_id").join(_hashed(long, False, known).hint("merge"), "key").select("short_id", "id").distinct())
+    met = met.join(long.withColumnRenamed("s", "long"), "id").drop("id").withColumnRenamed("short_id", "id").join(short.withColumnRenamed("s", "short"), "id")
+    return met.filter(F.col("long").contains(F.col("short"))).select("short", "long")
 
 
 def substring_matches(left: DataFrame, right: DataFrame, left_col: str, right_col: str, both_ways: bool = True) -> DataFrame:
     """Distinct (left, right) with the left string in the right one or, ``both_ways``, the right in the left one; case is ignored.
 
-    A string contained in another shares its trigram of least hash with it, so both sides are joined by trigram and then checked;
-    no pair of strings meets that has no trigram in common. Null and empty strings match nothing.
+    A string contained in another stands there with its prefix, so the hash of a long prefix is joined with those of all parts of the
+    other; hardly a pair meets that is no match. Spellings that differ in case meet once. Null and empty strings match nothing.
     """
-    a = left.select(F.col(left_col).alias("l")).filter("l <> ''").distinct().withColumn("low_l", F.lower("l"))
-    b = right.select(F.col(right_col).alias("r")).filter("r <> ''").distinct().withColumn("low_r", F.lower("r"))
-    short_left = a.withColumn("gram", _grams(F.col("low_l"), False)).join(b.withColumn("gram", F.explode(_grams(F.col("low_r"), True))), "gram").filter(F.col("low_r").contains(F.col("low_l")))
-    if not both_ways:
-        return short_left.select(F.col("l").alias(left_col), F.col("r").alias(right_col)).distinct()
-    short_right = b.withColumn("gram", _grams(F.col("low_r"), False)).join(a.withColumn("gram", F.explode(_grams(F.col("low_l"), True))), "gram").filter(F.col("low_l").contains(F.col("low_r")))
-    return short_left.select("l", "r").unionByName(short_right.select("l", "r")).distinct().withColumnsRenamed({"l": left_col, "r": right_col})
+    a = left.select(F.col(left_col).alias(left_col)).filter(F.col(left_col) != "").distinct().withColumn("low_l", F.lower(left_col))
+    b = right.select(F.col(right_col).alias(right_col)).filter(F.col(right_col) != "").distinct().withColumn("low_r", F.lower(right_col))
+    low_a, low_b = (cut_lineage(x.select(F.col(c).alias("s")).distinct().select(F.xxhash64("s").alias("id"), "s")) for x, c in ((a, "low_l"), (b, "low_r")))
+    pairs = _contained(low_a, low_b).toDF("low_l", "low_r")
+    if both_ways:
+        pairs = pairs.unionByName(_contained(low_b, low_a).toDF("low_r", "low_l"))
+    return pairs.distinct().join(a, "low_l").join(b, "low_r").select(left_col, right_col)
 
 
 def symmetric(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -84,12 +172,30 @@ def graph_neighbours(seeds: DataFrame, entities: DataFrame, edges: DataFrame, li
     return ranked.filter(~F.col("name").isin(*(NOISE_NAMES if noise is None else noise))).select("seed", "rank", "name", "count")
 
 
-def evidence_search(query_names: DataFrame, entities: DataFrame, edges: DataFrame, found_in: DataFrame, limit: int = 20, noise: list[str] | None = None) -> DataFrame:
-    """(query_id, chunk_id, related): chunks of the names beside those that match a query's names, at most ``limit`` for each of them."""
-    near = cut_lineage(substring_matches(query_names, entities, "name", "entity", True)).join(symmetric(edges), F.col("entity") == F.col("node")).select("name", F.col("other").alias("related")).distinct()
-    rows = near.join(found_in, F.col("related") == found_in["entity"]).select("name", "related", "chunk_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("chunk_id", "related"))
-    kept = rows.withColumn("rank", rank).filter(F.col("rank") <= limit).filter(~F.col("related").isin(*(noise if noise is not None else NOISE_NAMES[:7])))
+def evidence_search(query_names: DataFrame, entities: DataFrame, limit: int = 20, noise: list[str] | None = None, first_chunks: int = FIRST_CHUNKS) -> DataFrame:
+    """(query_id, chunk_id, related): chunks of the names beside those that match a query's names, at most ``limit`` for each of them.
+
+    ``entities``: (chunk_id, entities). A name's rows come in order of their chunks: the first chunks are searched first, and only names
+    that find fewer than ``limit`` rows there go on to the whole archive, of which the first ``limit`` chunks of each related name count.
+    """
+    held = mentions(entities).hint("merge")  # a plan takes it for as small as the chunks' table
+    matched = cut_lineage(substring_matches(query_names, held.select("entity"), "name", "entity", True))
+    seen = cut_lineage(matched.join(held, "entity").select("name", "entity", "chunk_id"))
+    order = Window.partitionBy("name").orderBy("chunk_id", "related")
+
+    def found(seen: DataFrame, within: DataFrame) -> DataFrame:
+        within = cut_lineage(within.select(F.col("entity").alias("related"), "chunk_id"))
+        beside = seen.join(held.select("chunk_id", F.col("entity").alias("related")), "chunk_id").filter("entity <> related").select("name", "related")
+        near = beside.join(within.select("related").distinct(), "related", "left_semi").distinct()
+        return cut_lineage(near.join(within, "related").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit))
+
+    begin = cut_lineage(held.select("chunk_id").distinct().orderBy("chunk_id").limit(first_chunks))
+    first = found(seen, held.join(begin, "chunk_id"))
+    full = first.filter(F.col("rank") == limit).select("name")
+    nth = F.row_number().over(Window.partitionBy("entity").orderBy("chunk_id"))
+    rest = found(seen.join(full, "name", "left_anti"), held.withColumn("_n", nth).filter(F.col("_n") <= limit).drop("_n"))
+    rows = first.join(full, "name", "left_semi").unionByName(rest)
+    kept = rows.filter(~F.col("related").isin(*(noise if noise is not None else NOISE_NAMES[:7])))
     return query_names.join(kept, "name").select("query_id", "chunk_id", "related").distinct()
 
 

@@ -394,7 +394,7 @@ def graph_evidence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the names beside those in each held-out question."""
     named = cut_lineage(_named(spark, sf_dir))
     asked = table(spark, sf_dir, "eval_items").select(F.col("qid").alias("query_id"), F.explode(names.question_entities(F.col("question"))).alias("name")).distinct()
-    return graph.evidence_search(asked, graph.mentions(named).select("entity"), graph.cooccurrence(named), graph.mentions(named))
+    return graph.evidence_search(asked, named)
 
 
 @query(f"WITH {_ASKED} SELECT qid, array_to_string(names, '|') AS names, array_to_string(analysed, '|') AS analysed, seed FROM seeds_of")

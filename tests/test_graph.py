@@ -100,3 +100,23 @@ def test_resolution_knows_rare_subjects(spark, tmp_path):
     got = {r.name: r.match for r in QUERIES["entity_resolution"](spark, str(tmp_path)).collect()}
     assert got["House Aldermor"] == "House Aldermoor" and got["Bela Kun of the Nort"] == "Bela Kun of the North" and got["unlike any"] == "unlike any"
     assert got["Bela Kun of the Nortth"] == "Bela Kun of the Nortth" and set(got) == {x for r in rows for x in r if x}
+
+
+def _archive(spark, rng):
+    words = ["Anna", "anna", "ANNA ROE", "Roe", "In", "The Inn", "Edda Holt", "Holt", "Bela Kun", "Kun", "Of", "An", "Dora", "Ida", "Ina"]
+    rows = [(f"c{i:03}", sorted({rng.choice(words[: rng.randint(1, len(words))]) for _ in range(rng.randint(0, 6))})) for i in range(120)]
+    return spark.createDataFrame(rows, "chunk_id string, entities array<string>")
+
+
+def test_evidence_search_equals_brute_force(spark):
+    named = _archive(spark, random.Random(9))
+    held = {r.chunk_id: r.entities for r in named.collect()}
+    names = ["anna", "Holt of Kun", "Ida", "nobody", "Dora"]
+    asked = spark.createDataFrame([(f"q{i % 3}", n) for i, n in enumerate(names)], "query_id string, name string")
+    want = set()
+    for i, n in enumerate(names):
+        hit = {e for es in held.values() for e in es if n.lower() in e.lower() or e.lower() in n.lower()}
+        near = {o for es in held.values() for e in es if e in hit for o in es if o != e}
+        want |= {(f"q{i % 3}", c, r) for c, r in sorted((c, r) for c, es in held.items() for r in es if r in near)[:6] if r != "Of"}
+    for first in (1, 3, 1000):
+        assert {tuple(r) for r in graph.evidence_search(asked, named, 6, ["Of"], first).collect()} == want
