@@ -47,6 +47,8 @@ def graph_counters(entities: DataFrame) -> DataFrame:
 PREFIX_SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 24, 29, 35, 42, 50, 60)
 #: Parts in which bits of keys are put together.
 KEY_BLOCKS = 64
+#: A name of more chunks than this is a hub.
+HUB = 64
 #: Chunks that are searched before all others.
 FIRST_CHUNKS = 60
 
@@ -172,6 +174,58 @@ def graph_neighbours(seeds: DataFrame, entities: DataFrame, edges: DataFrame, li
     return ranked.filter(~F.col("name").isin(*(NOISE_NAMES if noise is None else noise))).select("seed", "rank", "name", "count")
 
 
+def archive_neighbours(seeds: DataFrame, entities: DataFrame, limit: int = 20, both_ways: bool = True, noise: list[str] | None = None, hub: int = HUB) -> DataFrame:
+    """``graph_neighbours`` for seeds as many as the archive has, from (chunk_id, entities); edges are neither made nor multiplied by seeds.
+
+    Names are numbers in their order. Names of up to ``hub`` chunks lead from a seed to their chunks, and those to what stands there. The
+    most frequent names are added up first: what is the last within the limit there is a bound, and a name that
+    stands in so few chunks that it cannot reach the bound is no candidate of the seed. Exact.
+    """
+    names = cut_lineage(mentions(entities).groupBy("entity").agg(F.count("*").alias("df")).orderBy("entity").withColumn("id", F.monotonically_increasing_id()))
+    rows = cut_lineage(mentions(entities).hint("merge").join(names, "entity").select("chunk_id", "id", "df"))
+    held = cut_lineage(rows.groupBy("chunk_id").agg(F.collect_list(F.struct("id", "df")).alias("o")))
+    low = seeds.select("seed", F.lower("seed").alias("low")).filter("seed <> ''").distinct()
+    met = substring_matches(low.select("low").distinct(), names.select("entity"), "low", "entity", both_ways)
+    met = cut_lineage(met.join(names, "entity").select("low", "id", "df"))
+
+    top = cut_lineage(names.orderBy(F.desc("df"), "id").limit(3 * limit + 4).select("id"))
+    of_hubs = rows.filter(F.col("df") > hub).select("chunk_id", F.col("id").alias("node"))
+    of_top = cut_lineage(rows.join(F.broadcast(top), "id").select("chunk_id", F.col("id").alias("other")))
+    with_top = of_hubs.join(of_top, "chunk_id").filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("n"))
+    rare = met.filter(F.col("df") <= hub)
+    of_chunk = cut_lineage(rare.select("low", "id").join(rows.select("id", "chunk_id"), "id").groupBy("low", "chunk_id").agg(F.count("*").alias("n")))
+    parts = met.filter(F.col("df") > hub).join(with_top, F.col("id") == F.col("node")).select("low", "other", "n").unionByName(of_chunk.join(of_top, "chunk_id").select("low", "other", "n"))
+    parts = parts.unionByName(rare.join(F.broadcast(top), "id").select("low", F.col("id").alias("other"), (-F.col("df")).alias("n")))  # a name is not beside itself
+    sums = parts.groupBy("low", "other").agg(F.sum("n").alias("n"))
+    last = F.row_number().over(Window.partitionBy("low").orderBy(F.desc("n"), "other"))
+    bound = sums.withColumn("_r", last).filter(F.col("_r") <= limit).filter(F.col("_r") == limit).select("low", F.col("n").alias("bound"))
+    size = met.groupBy("low").agg(F.sum((F.col("df") > hub).cast("long")).alias("hubs"), F.sum(F.when(F.col("df") <= hub, F.col("df")).otherwise(0)).alias("rest"))
+    size = size.join(of_chunk.groupBy("low").agg(F.max("n").alias("most")), "low", "left").withColumn("all", F.col("hubs") + F.coalesce("most", F.lit(0)))
+    # A name of df chunks stands at most df times beside each hub, and in each chunk beside no more rare matches than a chunk has, and
+    # beside all rare matches together no more often than those stand at all.
+    least = F.greatest(F.ceil(F.col("bound") / F.col("all")), F.when(F.col("hubs") > 0, F.ceil((F.col("bound") - F.col("rest")) / F.col("hubs"))), F.lit(1)).cast("long")
+    least = cut_lineage(size.join(bound, "low", "left").select("low", F.coalesce(least, F.lit(1)).alias("least")))
+    met = cut_lineage(met.join(least, "low"))
+
+    by_chunk = of_chunk.join(least, "low").join(held, "chunk_id").select("low", F.explode(F.filter("o", lambda o: o["df"] >= F.col("least"))).alias("o"), "n").select("low", F.col("o.id").alias("other"), "n")
+    itself = met.filter((F.col("df") <= hub) & (F.col("df") >= F.col("least"))).select("low", F.col("id").alias("other"), (-F.col("df")).alias("n"))
+    # Edges of hubs are cut by the logarithm of the other's chunks, so a seed meets no lists of names that cannot reach its bound.
+    level = lambda c: F.floor(F.log2(c.cast("double"))).cast("int")
+    most = int(names.agg(F.coalesce(F.max(level(F.col("df"))), F.lit(0))).first()[0])
+    asked = met.filter(F.col("df") > hub)
+    needed = asked.groupBy(F.col("id").alias("node")).agg(F.min("least").alias("needed"))
+    edges = of_hubs.join(needed, "node").join(held, "chunk_id").select("node", F.explode(F.filter("o", lambda o: (o["df"] >= F.col("needed")) & (o["id"] != F.col("node")))).alias("o"))
+    edges = edges.groupBy("node", F.col("o.id").alias("other"), F.col("o.df").alias("df")).agg(F.count("*").alias("n")).withColumn("level", level(F.col("df")))
+    asked = asked.filter(level(F.col("least")) <= most).select("low", F.col("id").alias("node"), "least", F.explode(F.sequence(level(F.col("least")), F.lit(most))).alias("level"))
+    by_hub = asked.hint("merge").join(edges, ["node", "level"]).filter(F.col("df") >= F.col("least")).select("low", "other", "n")
+
+    beside = by_hub.unionByName(by_chunk).unionByName(itself).groupBy("low", "other").agg(F.sum("n").alias("count")).filter("count > 0")
+    rank = F.row_number().over(Window.partitionBy("low").orderBy(F.desc("count"), "other"))
+    ranked = beside.withColumn("rank", rank).filter(F.col("rank") <= limit).join(names.select(F.col("id").alias("other"), F.col("entity").alias("name")), "other")
+    kept = ranked.filter(~F.col("name").isin(*(NOISE_NAMES if noise is None else noise)))
+    return low.join(kept, "low").select("seed", "rank", "name", "count")
+
+
 def evidence_search(query_names: DataFrame, entities: DataFrame, limit: int = 20, noise: list[str] | None = None, first_chunks: int = FIRST_CHUNKS) -> DataFrame:
     """(query_id, chunk_id, related): chunks of the names beside those that match a query's names, at most ``limit`` for each of them.
 

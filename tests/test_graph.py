@@ -108,6 +108,25 @@ def _archive(spark, rng):
     return spark.createDataFrame(rows, "chunk_id string, entities array<string>")
 
 
+def test_archive_neighbours_equal_neighbours_by_edges(spark):
+    named = _archive(spark, random.Random(5))
+    seeds = spark.createDataFrame([(s,) for s in ("anna", "Anna Roe in the Inn", "Holt", "nobody", "Kun", "KUN", "", "Annain")], "seed string")
+    for both in (True, False):
+        every = {tuple(r) for r in graph.graph_neighbours(seeds, graph.mentions(named).select("entity"), graph.cooccurrence(named), 3, both, ["Of"]).collect()}
+        assert len(every) > 5
+        for hub in (0, 12, 40, 1000):
+            assert {tuple(r) for r in graph.archive_neighbours(seeds, named, 3, both, ["Of"], hub).collect()} == every
+
+
+def test_archive_neighbours_meet_no_more_than_they_need(spark):
+    """A hub of 3,000 neighbours and 3,000 seeds that contain it: edges by seeds would be 9 million rows."""
+    rows = [(f"c{i}", ["In", f"N{i}", *[f"Often {k}" for k in range(20)]]) for i in range(3000)]
+    named = spark.createDataFrame(rows, "chunk_id string, entities array<string>")
+    seeds = spark.createDataFrame([(f"in {i}",) for i in range(3000)], "seed string")
+    got = graph.archive_neighbours(seeds, named, 20)
+    assert got.count() == 60_000 and got.filter("name NOT LIKE 'Often%' OR count <> 3000").count() == 0
+
+
 def test_evidence_search_equals_brute_force(spark):
     named = _archive(spark, random.Random(9))
     held = {r.chunk_id: r.entities for r in named.collect()}
