@@ -181,6 +181,7 @@ def archive_neighbours(seeds: DataFrame, entities: DataFrame, limit: int = 20, b
     most frequent names are added up first: what is the last within the limit there is a bound, and a name that
     stands in so few chunks that it cannot reach the bound is no candidate of the seed. Exact.
     """
+    entities = cut_lineage(entities.select(F.monotonically_increasing_id().alias("chunk_id"), "entities"))  # numbers of chunks move, not their ids
     names = cut_lineage(mentions(entities).groupBy("entity").agg(F.count("*").alias("df")).orderBy("entity").withColumn("id", F.monotonically_increasing_id()))
     rows = cut_lineage(mentions(entities).hint("merge").join(names, "entity").select("chunk_id", "id", "df"))
     held = cut_lineage(rows.groupBy("chunk_id").agg(F.collect_list(F.struct("id", "df")).alias("o")))
@@ -188,7 +189,7 @@ def archive_neighbours(seeds: DataFrame, entities: DataFrame, limit: int = 20, b
     met = substring_matches(low.select("low").distinct(), names.select("entity"), "low", "entity", both_ways)
     met = cut_lineage(met.join(names, "entity").select("low", "id", "df"))
 
-    top = cut_lineage(names.orderBy(F.desc("df"), "id").limit(3 * limit + 4).select("id"))
+    top = cut_lineage(names.orderBy(F.desc("df"), "id").limit(limit + limit // 2).select("id"))
     of_hubs = rows.filter(F.col("df") > hub).select("chunk_id", F.col("id").alias("node"))
     of_top = cut_lineage(rows.join(F.broadcast(top), "id").select("chunk_id", F.col("id").alias("other")))
     with_top = of_hubs.join(of_top, "chunk_id").filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("n"))
