@@ -79,8 +79,11 @@ class SentenceWords:
         bounds[:-1:2], bounds[1::2] = words.start * 4, words.end * 4
         bounds[-1] = bounds[-2] if len(words.start) else 0
         pieces = pa.BinaryArray.from_buffers(pa.binary(), 2 * len(words.start), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(words.cps.tobytes())]).dictionary_encode()
-        used, self.index = np.unique(pieces.indices.to_numpy()[::2], return_inverse=True) if len(words.start) else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
-        kept = pieces.dictionary.take(pa.array(used)).to_pylist() if len(used) else []
+        entry = pieces.indices.to_numpy()[::2]
+        seen = np.zeros(len(pieces.dictionary), dtype=bool)
+        seen[entry] = True
+        self.index = (np.cumsum(seen) - 1)[entry]
+        kept = pieces.dictionary.filter(pa.array(seen)).to_pylist()
         self.vocabulary = [b.decode("utf-32-le") for b in kept]
 
 
@@ -154,7 +157,7 @@ class Scorer:
         count = np.bincount(words.sentence, minlength=words.sentences)
         if len(words.index):
             first = np.flatnonzero(np.concatenate([[True], words.sentence[1:] != words.sentence[:-1]]))
-            total[words.sentence[first]] = np.add.reduceat(self.word_scores(words.vocabulary)[words.index], first, axis=0)
+            total[words.sentence[first]] = _run_sums(self.word_scores(words.vocabulary).take(words.index, axis=0), first)
         return total / np.maximum(count, 1)[:, None] + self.model.bias, count >= LEAST_WORDS
 
     def about(self, words: SentenceWords) -> tuple[np.ndarray, np.ndarray]:
@@ -242,42 +245,66 @@ class LocalSteps:
 
     def train(self, words: SentenceWords, target: np.ndarray, use: np.ndarray) -> None:
         own, grams, size = self.rows_of(words.vocabulary)
-        begin = np.cumsum(size) - size
+        vocabulary = np.arange(len(own))
+        row, of, part = np.concatenate([own, grams]), np.concatenate([vocabulary, np.repeat(vocabulary, size)]), np.repeat([0, len(own)], [len(own), len(grams)])
+        order = _order(row, len(self.steps))
+        by_row = row[order], of[order], part[order]
         first = np.searchsorted(words.sentence, np.arange(words.sentences + 1))
+        begin = np.cumsum(size) - size
         order = np.random.default_rng(len(words.index)).permutation(np.flatnonzero(use))
         for lo in range(0, len(order), STEP_SENTENCES):
             chosen = np.sort(order[lo : lo + STEP_SENTENCES])
-            self.step(words.index, first[chosen], first[chosen + 1] - first[chosen], target[chosen], own, grams, begin, size)
+            self.step(words.index, first[chosen], first[chosen + 1] - first[chosen], target[chosen], own, grams, begin, size, by_row)
+
+    def step(self, index: np.ndarray, first: np.ndarray, length: np.ndarray, target: np.ndarray, own: np.ndarray, grams: np.ndarray, begin: np.ndarray, size: np.ndarray, by_row: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """One step on sentences whose words stand at ``first`` in ``index``; rows that are not touched stay as they are.
 
-    def step(self, index: np.ndarray, first: np.ndarray, length: np.ndarray, target: np.ndarray, own: np.ndarray, grams: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        """One step on sentences whose words stand at ``first`` in ``index``; rows that are not touched stay as they are."""
+        ``by_row``: rows of the embeddings in order, the word of the vocabulary that each is of, and 0 for a word's own row or the number of words for its n-grams.
+        """
         e, o, b = self.model.parameters()
         runs = lambda start, n: np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        used, word = np.unique(index[runs(first, length)], return_inverse=True)
+        word = index[runs(first, length)]
+        seen = np.zeros(len(own), dtype=bool)
+        seen[word] = True
+        used = np.flatnonzero(seen)
+        place = np.cumsum(seen) - 1
+        word = place[word]
         n, rows = size[used], grams[runs(begin[used], size[used])]
-        some = n > 0
-        vector = e[own[used]]
-        vector[some] += np.add.reduceat(e[rows], (np.cumsum(n) - n)[some], axis=0) / n[some][:, None] if some.any() else 0
-        mean = np.add.reduceat(vector[word], np.cumsum(length) - length, axis=0) / length[:, None].astype(np.float32)
+        some = np.flatnonzero(n)
+        vector = e.take(own[used], axis=0)
+        if len(some):
+            vector[some] += _run_sums(e.take(rows, axis=0), (np.cumsum(n) - n)[some]) / n[some][:, None].astype(np.float32)
+        mean = _run_sums(vector.take(word, axis=0), np.cumsum(length) - length) / length[:, None].astype(np.float32)
         error = ((1 / (1 + np.exp(-(mean @ o + b))) - target) / len(target)).astype(np.float32)
-        back = np.repeat((error @ o.T) / length[:, None].astype(np.float32), length, axis=0)
-        _, per_word = _sums(word, back, np.arange(len(word)))
+        back = (error @ o.T) / length[:, None].astype(np.float32)
+        order = _order(word, len(used))
+        per_word = _run_sums(back.take(np.repeat(np.arange(len(length)), length)[order], axis=0), np.flatnonzero(np.diff(word[order], prepend=-1)))
         parts = np.concatenate([per_word, per_word / np.maximum(n, 1)[:, None].astype(np.float32)])
-        touched, gradient = _sums(np.concatenate([own[used], rows]), parts, np.concatenate([np.arange(len(used)), len(used) + np.repeat(np.arange(len(used)), n)]))
+        row, of, part = by_row
+        kept = np.flatnonzero(seen[of])
+        row = row[kept]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        touched, gradient = row[starts], _run_sums(parts.take(place[of[kept]] + np.where(part[kept], len(used), 0), axis=0), starts)
         square = self.squares
-        square[0][touched] += (gradient**2).mean(axis=1)
-        e[touched] -= SELF_RATE * gradient / np.sqrt(square[0][touched])[:, None]
+        square[0][touched] += np.einsum("ij,ij->i", gradient, gradient) / np.float32(DIMENSIONS)
+        e[touched] -= gradient * (np.float32(SELF_RATE) / np.sqrt(square[0][touched]))[:, None]
         self.steps[touched] += 1
         for p, g, q in ((o, mean.T @ error, square[1]), (b, error.sum(axis=0), square[2])):
             q += g**2
             p -= 0.3 * SELF_RATE * g / np.sqrt(q)
 
 
-def _sums(key: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and the sums of ``values[at]`` of each."""
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    return key[order][first], np.add.reduceat(values[at[order]], first, axis=0)
+def _order(key: np.ndarray, above: int) -> np.ndarray:
+    """The stable order of numbers under ``above``; those of 16 bits are sorted by digits."""
+    return np.argsort(key.astype(np.uint16) if above <= 1 << 16 else key, kind="stable")
+
+
+def _run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of the rows from each of ``first`` to the next; two columns are added at once as one complex number."""
+    columns = values.shape[1]
+    if columns % 2:
+        values = np.pad(values, ((0, 0), (0, 1)))
+    return np.add.reduceat(values.view(np.complex64), first, axis=0).view(np.float32)[:, :columns]
 
 
 def self_train(texts: DataFrame, model: Model) -> Model:
