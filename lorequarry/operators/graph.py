@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from lorequarry.functions.entities import NOISE_NAMES, passage_entities
 from lorequarry.functions.text import first_filled
-from lorequarry.session import cut_lineage
+from lorequarry.session import cut_lineage, partitions
 from lorequarry.sources.units import latest
 
 
@@ -49,6 +49,8 @@ PREFIX_SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 24, 29, 35, 42, 50,
 KEY_BLOCKS = 64
 #: A name of more chunks than this is a hub.
 HUB = 64
+#: Names in a piece of a list of neighbours, and seeds that are ranked in one place.
+LIST_BLOCK, CELL_SEEDS = 1 << 16, 512
 #: Chunks that are searched before all others.
 FIRST_CHUNKS = 60
 
@@ -174,57 +176,186 @@ def graph_neighbours(seeds: DataFrame, entities: DataFrame, edges: DataFrame, li
     return ranked.filter(~F.col("name").isin(*(NOISE_NAMES if noise is None else noise))).select("seed", "rank", "name", "count")
 
 
+def _numbered(rows: DataFrame, at: str, number: str) -> DataFrame:
+    """A number from 0 on, without gaps, in place of ``at``, which is what ``monotonically_increasing_id`` gave when the table was written."""
+    part = F.shiftright(at, 33)
+    sizes = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    begin = np.cumsum([0, *(sizes.get(i, 0) for i in range(max(sizes, default=0)))]).tolist()
+    return rows.withColumn(number, (F.get(F.array(*map(F.lit, begin)), part.cast("int")) + F.col(at) - F.shiftleft(part, 33)).cast("int")).drop(at)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], key: str, flat: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(key, values, sums) of rows in order of ``key``: values are distinct and sorted; flat(batch) gives values and weights of all rows and where each row begins."""
+    now, held, size = None, [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        values, weights = (np.concatenate(x) for x in zip(*held))
+        if not len(values):
+            return values, weights
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        return values[first], np.add.reduceat(weights[order], first)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        values, weights, begin = flat(batch)
+        begins = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            if held and keys[lo] != now:
+                yield now, *added()
+                held, size = [], 0
+            now = int(keys[lo])
+            held.append((values[begin[lo] : begin[hi]], weights[begin[lo] : begin[hi]]))
+            size += int(begin[hi] - begin[lo])
+            if size > 16 * LIST_BLOCK:
+                held, size = [added()], 0
+    if held:
+        yield now, *added()
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), kind))
+
+
+def _beside_each(rows: DataFrame, limit: int) -> DataFrame:
+    """(node, level, others, n, bound) of (node, hub, others, levels), a row for each chunk of a name: what stands beside the name, and in how many chunks.
+
+    Hubs have a row for each level of the others, other names one at level -1; lists are cut at ``LIST_BLOCK``. ``bound``: of a hub, the count at the limit.
+    """
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, others = batch.column("node").to_numpy(), batch.column("others")
+        own = np.repeat(np.arange(len(node)), np.diff(others.offsets.to_numpy()))
+        ids = others.flatten().to_numpy().astype(np.int64)
+        levels = np.where(batch.column("hub").to_numpy(zero_copy_only=False)[own], batch.column("levels").flatten().to_numpy(), -1).astype(np.int64)
+        some = ids != node[own]  # a name is not beside itself
+        begin = np.concatenate([[0], np.cumsum(np.bincount(own[some], minlength=len(node)))])
+        return ((levels + 1) << 32 | ids)[some], np.ones(int(begin[-1]), dtype=np.int64), begin
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            node, level, others, n, bound = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int32()), pa.array(level, pa.int32()), _lists(others, pa.int32()), _lists(n, pa.int32()), pa.array(bound, pa.int32())], names=["node", "level", "others", "n", "bound"])
+
+        for node, packed, n in _sums(batches, "node", flat):
+            levels, ids = packed >> 32, (packed & 0xFFFFFFFF).astype(np.int32)
+            bound = int(np.partition(n, len(n) - limit)[len(n) - limit]) if len(n) >= limit else 0
+            begins = np.concatenate([np.flatnonzero(np.concatenate([[True], levels[1:] != levels[:-1]])), [len(ids)]]).tolist() if len(ids) else [0]
+            for lo, hi in zip(begins[:-1], begins[1:]):
+                for at in range(lo, hi, LIST_BLOCK):
+                    part = slice(at, min(hi, at + LIST_BLOCK))
+                    out.append((node, int(levels[at]) - 1, ids[part], n[part].astype(np.int32), bound))
+                    size += part.stop - at
+            if size > 16 * LIST_BLOCK:
+                yield made()
+                out, size = [], 0
+        if out:
+            yield made()
+
+    return rows.mapInArrow(run, "node int, level int, others array<int>, n array<int>, bound int")
+
+
+def _first_of_each(rows: DataFrame, limit: int) -> DataFrame:
+    """(low, other, count, rank) of (low, others, n) in order: the ``limit`` largest sums of a seed's own lists and its cell's, which come before its seeds, with a negative ``low``.
+
+    What is not in a seed's own lists can only be among the first by the cell's sums alone, so of those the first suffice.
+    """
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        others = batch.column("others")
+        ends = others.offsets.to_numpy()
+        return others.flatten().to_numpy(), batch.column("n").flatten().to_numpy().astype(np.int64), ends - ends[0]
+
+    def first(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(n) > limit:
+            some = n >= np.partition(n, len(n) - limit)[len(n) - limit]
+            ids, n = ids[some], n[some]
+        order = np.lexsort((ids, -n))[:limit]
+        return ids[order], n[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            low, other, n = zip(*out)
+            sizes = [len(x) for x in other]
+            columns = [np.repeat(np.array(low, dtype=np.int64), sizes), np.concatenate(other).astype(np.int32), np.concatenate(n), np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in sizes])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["low", "other", "count", "rank"])
+
+        shared = leading = None
+        for low, ids, n in _sums(batches, "low", flat):
+            if low < 0:
+                shared, leading = (ids, n), first(ids, n)
+                continue
+            if len(shared[0]):
+                at = np.minimum(np.searchsorted(shared[0], ids), len(shared[0]) - 1)
+                more = ~np.isin(leading[0], ids)
+                n = np.concatenate([n + np.where(shared[0][at] == ids, shared[1][at], 0), leading[1][more]])
+                ids = np.concatenate([ids, leading[0][more]])
+            out.append((low, *first(ids, n)))
+            if len(out) >= 5000:
+                yield made()
+                out = []
+        if out:
+            yield made()
+
+    return rows.mapInArrow(run, "low long, other int, count long, rank int")
+
+
 def archive_neighbours(seeds: DataFrame, entities: DataFrame, limit: int = 20, both_ways: bool = True, noise: list[str] | None = None, hub: int = HUB) -> DataFrame:
-    """``graph_neighbours`` for seeds as many as the archive has, from (chunk_id, entities); edges are neither made nor multiplied by seeds.
+    """``graph_neighbours`` for seeds as many as the archive has, from (chunk_id, entities); edges are not multiplied by seeds.
 
-    Names are numbers in their order. Names of up to ``hub`` chunks lead from a seed to their chunks, and those to what stands there. The
-    most frequent names are added up first: what is the last within the limit there is a bound, and a name that
-    stands in so few chunks that it cannot reach the bound is no candidate of the seed. Exact.
+    Names are numbers in their order. What stands beside a name is one list, or for a hub, a name of more than ``hub`` chunks, a list
+    for each level of the others' chunks. Seeds that match the same hubs are ranked in one cell, where the hubs' lists are added up once;
+    a seed brings the lists of its other names. What is the last within the limit beside one of the hubs is a bound, and the lists of
+    names in so few chunks that they cannot reach it stay where they are. Exact.
     """
+    spark = entities.sparkSession
+    level = lambda c: F.floor(F.log2(c.cast("double"))).cast("tinyint")
     entities = cut_lineage(entities.select(F.monotonically_increasing_id().alias("chunk_id"), "entities"))  # numbers of chunks move, not their ids
-    names = cut_lineage(mentions(entities).groupBy("entity").agg(F.count("*").alias("df")).orderBy("entity").withColumn("id", F.monotonically_increasing_id()))
-    rows = cut_lineage(mentions(entities).hint("merge").join(names, "entity").select("chunk_id", "id", "df"))
-    held = cut_lineage(rows.groupBy("chunk_id").agg(F.collect_list(F.struct("id", "df")).alias("o")))
+    names = mentions(entities).groupBy("entity").agg(F.count("*").alias("df")).orderBy("entity").withColumn("_at", F.monotonically_increasing_id())
+    names = _numbered(cut_lineage(names.withColumn("level", level(F.col("df")))), "_at", "id")
     low = seeds.select("seed", F.lower("seed").alias("low")).filter("seed <> ''").distinct()
-    met = substring_matches(low.select("low").distinct(), names.select("entity"), "low", "entity", both_ways)
-    met = cut_lineage(met.join(names, "entity").select("low", "id", "df"))
-
-    top = cut_lineage(names.orderBy(F.desc("df"), "id").limit(limit + limit // 2).select("id"))
-    of_hubs = rows.filter(F.col("df") > hub).select("chunk_id", F.col("id").alias("node"))
-    of_top = cut_lineage(rows.join(F.broadcast(top), "id").select("chunk_id", F.col("id").alias("other")))
-    with_top = of_hubs.join(of_top, "chunk_id").filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("n"))
-    rare = met.filter(F.col("df") <= hub)
-    of_chunk = cut_lineage(rare.select("low", "id").join(rows.select("id", "chunk_id"), "id").groupBy("low", "chunk_id").agg(F.count("*").alias("n")))
-    parts = met.filter(F.col("df") > hub).join(with_top, F.col("id") == F.col("node")).select("low", "other", "n").unionByName(of_chunk.join(of_top, "chunk_id").select("low", "other", "n"))
-    parts = parts.unionByName(rare.join(F.broadcast(top), "id").select("low", F.col("id").alias("other"), (-F.col("df")).alias("n")))  # a name is not beside itself
-    sums = parts.groupBy("low", "other").agg(F.sum("n").alias("n"))
-    last = F.row_number().over(Window.partitionBy("low").orderBy(F.desc("n"), "other"))
-    bound = sums.withColumn("_r", last).filter(F.col("_r") <= limit).filter(F.col("_r") == limit).select("low", F.col("n").alias("bound"))
-    size = met.groupBy("low").agg(F.sum((F.col("df") > hub).cast("long")).alias("hubs"), F.sum(F.when(F.col("df") <= hub, F.col("df")).otherwise(0)).alias("rest"))
-    size = size.join(of_chunk.groupBy("low").agg(F.max("n").alias("most")), "low", "left").withColumn("all", F.col("hubs") + F.coalesce("most", F.lit(0)))
-    # A name of df chunks stands at most df times beside each hub, and in each chunk beside no more rare matches than a chunk has, and
-    # beside all rare matches together no more often than those stand at all.
-    least = F.greatest(F.ceil(F.col("bound") / F.col("all")), F.when(F.col("hubs") > 0, F.ceil((F.col("bound") - F.col("rest")) / F.col("hubs"))), F.lit(1)).cast("long")
-    least = cut_lineage(size.join(bound, "low", "left").select("low", F.coalesce(least, F.lit(1)).alias("least")))
-    met = cut_lineage(met.join(least, "low"))
-
-    by_chunk = of_chunk.join(least, "low").join(held, "chunk_id").select("low", F.explode(F.filter("o", lambda o: o["df"] >= F.col("least"))).alias("o"), "n").select("low", F.col("o.id").alias("other"), "n")
-    itself = met.filter((F.col("df") <= hub) & (F.col("df") >= F.col("least"))).select("low", F.col("id").alias("other"), (-F.col("df")).alias("n"))
-    # Edges of hubs are cut by the logarithm of the other's chunks, so a seed meets no lists of names that cannot reach its bound.
-    level = lambda c: F.floor(F.log2(c.cast("double"))).cast("int")
-    most = int(names.agg(F.coalesce(F.max(level(F.col("df"))), F.lit(0))).first()[0])
-    asked = met.filter(F.col("df") > hub)
-    needed = asked.groupBy(F.col("id").alias("node")).agg(F.min("least").alias("needed"))
-    edges = of_hubs.join(needed, "node").join(held, "chunk_id").select("node", F.explode(F.filter("o", lambda o: (o["df"] >= F.col("needed")) & (o["id"] != F.col("node")))).alias("o"))
-    edges = edges.groupBy("node", F.col("o.id").alias("other"), F.col("o.df").alias("df")).agg(F.count("*").alias("n")).withColumn("level", level(F.col("df")))
-    asked = asked.filter(level(F.col("least")) <= most).select("low", F.col("id").alias("node"), "least", F.explode(F.sequence(level(F.col("least")), F.lit(most))).alias("level"))
-    by_hub = asked.hint("merge").join(edges, ["node", "level"]).filter(F.col("df") >= F.col("least")).select("low", "other", "n")
-
-    beside = by_hub.unionByName(by_chunk).unionByName(itself).groupBy("low", "other").agg(F.sum("n").alias("count")).filter("count > 0")
-    rank = F.row_number().over(Window.partitionBy("low").orderBy(F.desc("count"), "other"))
-    ranked = beside.withColumn("rank", rank).filter(F.col("rank") <= limit).join(names.select(F.col("id").alias("other"), F.col("entity").alias("name")), "other")
+    lows = cut_lineage(low.select("low").distinct().withColumn("low_id", F.monotonically_increasing_id()))
+    met = substring_matches(lows, names, "low", "entity", both_ways)
+    met = cut_lineage(met.join(names, "entity").join(lows, "low").select("low_id", "id", "df"))
+    is_hub = F.col("df") > hub
+
+    known = names.join(met.select("id").distinct().withColumn("asked", F.lit(True)), "id", "left").select("entity", "id", "level", is_hub.alias("hub"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    held = mentions(entities).hint("merge").join(known, "entity").groupBy("chunk_id").agg(F.collect_list(F.struct("id", "level", "hub", "asked")).alias("o")).filter(F.size("o") > 1)
+    rows = held.select(F.explode(F.filter("o", lambda o: o["asked"])).alias("x"), F.col("o.id").alias("others"), F.col("o.level").alias("levels"))
+    rows = rows.select(F.col("x.id").alias("node"), "x.hub", "others", "levels").repartition(partitions(spark), "node").sortWithinPartitions("node")
+    beside = cut_lineage(_beside_each(rows, limit))
+
+    # A name of df chunks stands at most df times beside each match, and beside all rare matches together no more often than those stand at all.
+    bounds = beside.filter("level >= 0").groupBy(F.col("node").alias("id")).agg(F.max("bound").alias("bound"))
+    rest, rare = F.sum(F.when(is_hub, 0).otherwise(F.col("df"))), F.sum((~is_hub).cast("long"))
+    own = met.join(bounds, "id", "left").groupBy("low_id").agg(F.sort_array(F.collect_list(F.when(is_hub, F.col("id")))).alias("hubs"), rest.alias("rest"), rare.alias("rare"), F.coalesce(F.max("bound"), F.lit(0)).alias("bound"))
+    n_hubs = F.greatest(F.size("hubs"), F.lit(1))
+    own = cut_lineage(own.select("low_id", "hubs", F.greatest(F.ceil(F.col("bound") / (n_hubs + F.col("rare"))), F.ceil((F.col("bound") - F.col("rest")) / n_hubs), F.lit(1)).alias("least")))
+    placed = own.join(own.groupBy("hubs").agg(F.ceil(F.count("*") / CELL_SEEDS).alias("parts")), "hubs").withColumn("part", F.pmod(F.xxhash64("low_id"), F.col("parts")))
+    cells = cut_lineage(placed.groupBy("hubs", "part").agg(F.min("least").alias("least")).withColumn("cell", F.monotonically_increasing_id()))
+    placed = cut_lineage(placed.join(cells.select("hubs", "part", "cell"), ["hubs", "part"]).select("low_id", "cell"))
+
+    most = int(names.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0])
+    of_cell = (-1 - F.col("cell")).alias("low")
+    asked = cells.filter(level(F.col("least")) <= most).select("cell", of_cell, F.explode("hubs").alias("node"), F.sequence(level(F.col("least")).cast("int"), F.lit(most)).alias("levels")).select("cell", "low", "node", F.explode("levels").alias("level"))
+    asked = asked.unionByName(met.filter(~is_hub).join(placed, "low_id").select("cell", F.col("low_id").alias("low"), F.col("id").alias("node"), F.lit(-1).alias("level")))
+    lists = asked.join(beside.select("node", "level", "others", "n").hint("merge"), ["node", "level"]).select("cell", "low", "others", "n")
+    none = F.array().cast("array<int>")
+    each = cells.select("cell", of_cell).unionByName(placed.select("cell", F.col("low_id").alias("low"))).select("cell", "low", none.alias("others"), none.alias("n"))
+    ranked = _first_of_each(lists.unionByName(each).repartition(partitions(spark), "cell").sortWithinPartitions("cell", "low").drop("cell"), limit)
+
+    ranked = ranked.join(names.select(F.col("id").alias("other"), F.col("entity").alias("name")), "other")
     kept = ranked.filter(~F.col("name").isin(*(NOISE_NAMES if noise is None else noise)))
-    return low.join(kept, "low").select("seed", "rank", "name", "count")
+    return low.join(lows, "low").join(kept.withColumnRenamed("low", "low_id"), "low_id").select("seed", "rank", "name", "count")
 
 
 def evidence_search(query_names: DataFrame, entities: DataFrame, limit: int = 20, noise: list[str] | None = None, first_chunks: int = FIRST_CHUNKS) -> DataFrame:

@@ -127,6 +127,26 @@ def test_archive_neighbours_meet_no_more_than_they_need(spark):
     assert got.count() == 60_000 and got.filter("name NOT LIKE 'Often%' OR count <> 3000").count() == 0
 
 
+def _moved(spark, last):
+    """(rows that stages after ``last`` wrote for others, the last stage)."""
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > last), max([s.stageId() for s in stages], default=-1)
+
+
+def test_archive_neighbours_add_up_a_hub_once(spark):
+    """1,500 seeds of one hub with 1,500 neighbours that are all as frequent as the last within the limit: edges by seeds would be 2 million rows."""
+    rows = [(f"c{i}", ["An", f"N{i % 1500:04}"]) for i in range(3000)]
+    named = spark.createDataFrame(rows, "chunk_id string, entities array<string>")
+    seeds = spark.createDataFrame([(f"an {i}",) for i in range(1500)], "seed string")
+    _, last = _moved(spark, -1)
+    got = graph.archive_neighbours(seeds, named, 20).groupBy("name", "rank", "count").agg({"seed": "count"}).collect()
+    assert {tuple(r) for r in got} == {(f"N{i:04}", i + 1, 2, 1500) for i in range(20)}
+    assert _moved(spark, last)[0] < 500_000
+
+
 def test_evidence_search_equals_brute_force(spark):
     named = _archive(spark, random.Random(9))
     held = {r.chunk_id: r.entities for r in named.collect()}
