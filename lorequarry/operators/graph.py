@@ -221,10 +221,16 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), kind))
 
 
+def _numbers(batch: pa.RecordBatch) -> np.ndarray:
+    low, high = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("low_bits", "high_bits"))
+    return high << 16 | low & 0xFFFF
+
+
 def _beside_each(rows: DataFrame, limit: int) -> DataFrame:
-    """(node, level, others, n, bound) of (node, hub, others, levels), a row for each chunk of a name: what stands beside the name, and in how many chunks.
+    """(node, level, low_bits, high_bits, n, bound) of (node, hub, others, levels), a row for each chunk of a name: what stands beside the name, and in how many chunks.
 
-    Hubs have a row for each level of the others, other names one at level -1; lists are cut at ``LIST_BLOCK``. ``bound``: of a hub, the count at the limit.
+    Hubs have a row for each level of the others, other names one at level -1; lists are cut at ``LIST_BLOCK``. Numbers are in order,
+    so the halves of their bits take about half as much place, compressed. ``bound``: of a hub, the count at the limit.
     """
 
     def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +248,8 @@ def _beside_each(rows: DataFrame, limit: int) -> DataFrame:
 
         def made() -> pa.RecordBatch:
             node, level, others, n, bound = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(node, pa.int32()), pa.array(level, pa.int32()), _lists(others, pa.int32()), _lists(n, pa.int32()), pa.array(bound, pa.int32())], names=["node", "level", "others", "n", "bound"])
+            halves = [_lists([x.astype(np.int16) for x in others], pa.int16()), _lists([(x >> 16).astype(np.int16) for x in others], pa.int16())]
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int32()), pa.array(level, pa.int32()), *halves, _lists(n, pa.int32()), pa.array(bound, pa.int32())], names=["node", "level", "low_bits", "high_bits", "n", "bound"])
 
         for node, packed, n in _sums(batches, "node", flat):
             levels, ids = packed >> 32, (packed & 0xFFFFFFFF).astype(np.int32)
@@ -259,19 +266,19 @@ def _beside_each(rows: DataFrame, limit: int) -> DataFrame:
         if out:
             yield made()
 
-    return rows.mapInArrow(run, "node int, level int, others array<int>, n array<int>, bound int")
+    return rows.mapInArrow(run, "node int, level int, low_bits array<smallint>, high_bits array<smallint>, n array<int>, bound int")
 
 
 def _first_of_each(rows: DataFrame, limit: int) -> DataFrame:
-    """(low, other, count, rank) of (low, others, n) in order: the ``limit`` largest sums of a seed's own lists and its cell's, which come before its seeds, with a negative ``low``.
+    """(low, other, count, rank) of (low, low_bits, high_bits, n) in order: the ``limit`` largest sums of a seed's own lists and its cell's, which come before its seeds, with a negative ``low``.
 
     What is not in a seed's own lists can only be among the first by the cell's sums alone, so of those the first suffice.
     """
 
     def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        others = batch.column("others")
-        ends = others.offsets.to_numpy()
-        return others.flatten().to_numpy(), batch.column("n").flatten().to_numpy().astype(np.int64), ends - ends[0]
+        n = batch.column("n")
+        ends = n.offsets.to_numpy()
+        return _numbers(batch), n.flatten().to_numpy().astype(np.int64), ends - ends[0]
 
     def first(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(n) > limit:
@@ -348,9 +355,9 @@ def archive_neighbours(seeds: DataFrame, entities: DataFrame, limit: int = 20, b
     of_cell = (-1 - F.col("cell")).alias("low")
     asked = cells.filter(level(F.col("least")) <= most).select("cell", of_cell, F.explode("hubs").alias("node"), F.sequence(level(F.col("least")).cast("int"), F.lit(most)).alias("levels")).select("cell", "low", "node", F.explode("levels").alias("level"))
     asked = asked.unionByName(met.filter(~is_hub).join(placed, "low_id").select("cell", F.col("low_id").alias("low"), F.col("id").alias("node"), F.lit(-1).alias("level")))
-    lists = asked.join(beside.select("node", "level", "others", "n").hint("merge"), ["node", "level"]).select("cell", "low", "others", "n")
-    none = F.array().cast("array<int>")
-    each = cells.select("cell", of_cell).unionByName(placed.select("cell", F.col("low_id").alias("low"))).select("cell", "low", none.alias("others"), none.alias("n"))
+    lists = asked.join(beside.drop("bound").hint("merge"), ["node", "level"]).drop("node", "level")
+    none = [F.array().cast(beside.schema[c].dataType).alias(c) for c in ("low_bits", "high_bits", "n")]
+    each = cells.select("cell", of_cell).unionByName(placed.select("cell", F.col("low_id").alias("low"))).select("cell", "low", *none)
     ranked = _first_of_each(lists.unionByName(each).repartition(partitions(spark), "cell").sortWithinPartitions("cell", "low").drop("cell"), limit)
 
     ranked = ranked.join(names.select(F.col("id").alias("other"), F.col("entity").alias("name")), "other")

@@ -362,14 +362,12 @@ def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _NAMES + ", " + _NEAR.replace("{match}", _BOTH).replace("{noise}", _NOISE))
 def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = cut_lineage(_named(spark, sf_dir))
-    return graph.archive_neighbours(_subjects(spark, sf_dir), named)
+    return graph.archive_neighbours(_subjects(spark, sf_dir), _named(spark, sf_dir))
 
 
 @query("WITH " + _NAMES + ", " + _NEAR.replace("{match}", _ONE).replace("{noise}", "''"))
 def graph_neighbors_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = cut_lineage(_named(spark, sf_dir))
-    return graph.archive_neighbours(_subjects(spark, sf_dir), named, both_ways=False, noise=[""])
+    return graph.archive_neighbours(_subjects(spark, sf_dir), _named(spark, sf_dir), both_ways=False, noise=[""])
 
 
 _in = lambda words: ", ".join(f"'{w}'" for w in words)
